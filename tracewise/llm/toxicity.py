@@ -53,6 +53,9 @@ class Crf:
     slope: float = 1.0
     offset: float = 0.0
 
+    def __reduce__(self):
+        return Crf, (self.lexicon, self.trans, self.bias, self.weight, self.slope, self.offset)
+
     def __post_init__(self):
         step = np.exp(self.trans + np.array([0.0, self.bias]))
         power, self.powers = np.eye(2), []
