@@ -58,6 +58,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of two longs at most that a broadcast join may send; more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
+
+
+def hinted(df: DataFrame) -> DataFrame:
+    """``df``, a materialized table of a few narrow columns, to be broadcast if it is small enough."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -81,20 +90,31 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Rec
 
 
 class BoundedCache(dict):
-    """A word cache that starts anew when it holds ``limit`` entries."""
+    """A word cache in two generations of ``limit`` entries at most.
+
+    When the young one (the dictionary itself) is full it becomes the old one;
+    words still in use move back, words seen once fade away.
+    """
 
-    def __init__(self, fill: Callable[[list[bytes]], list], limit: int = 400_000):
+    def __init__(self, fill: Callable[[list[bytes]], list], limit: int = 200_000):
         super().__init__()
-        self.fill, self.limit = fill, limit
+        self.fill, self.limit, self.old = fill, limit, {}
 
     def prepare(self, words: list[bytes]) -> None:
-        """Makes every word of ``words`` present."""
-        new = list({w for w in words if w not in self})
+        """Makes every word of ``words`` present in the young generation."""
+        new = {w for w in words if w not in self}
         if not new:
             return
         if len(self) + len(new) > self.limit:
+            self.old = dict(self)
             self.clear()
-            new = list(set(words))
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
+            new = set(words)
+        missing = []
+        for w in new:
+            if (value := self.old.get(w, self)) is self:
+                missing.append(w)
+            else:
+                self[w] = value
+        for i in range(0, len(missing), 4096):
+            part = missing[i : i + 4096]
             self.update(zip(part, self.fill(part)))

@@ -20,36 +20,40 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, map_rows, materialize, spaced_words, table
+from .common import as_bytes, hinted, map_rows, materialize, spaced_words, table
 from .components import components
 
 _CHUNK = 1 << 16
 
 
-def fingerprint(text: bytes | None, k: int, seeds: tuple[int, ...]) -> list[bytes]:
-    """One 64-bit fingerprint (8 bytes, highest first) for each seed, over ``k``-word shingles."""
+def shingles(text: bytes | None, k: int) -> list[bytes]:
+    """``k``-word shingles, repeats included; of fewer words, but not none, the whole sequence."""
     words = spaced_words(text)
-    if not words:
-        return [b"\0" * 8] * len(seeds)
+    if len(words) <= k:
+        return [b" ".join(words)] if words else []
     line = b" ".join(words)
     ends = list(accumulate(len(w) + 1 for w in words))
-    n = max(1, len(words) - k + 1)
-    starts, stops = [0, *ends[: n - 1]], [e - 1 for e in ends[k - 1 :]] or [len(line)]
+    return [line[s : e - 1] for s, e in zip([0, *ends], ends[k - 1 :])]
+
+
+def fingerprint(parts: list[bytes], seeds: tuple[int, ...]) -> list[bytes]:
+    """One 64-bit fingerprint (8 bytes, highest first) for each seed; zero if there are no parts."""
     out = []
     for seed in seeds:
         digest, ones = xxhash.xxh64_digest, np.zeros(64, dtype=np.int64)
-        for i in range(0, n, _CHUNK):
-            data = b"".join([digest(line[s:e], seed) for s, e in zip(starts[i : i + _CHUNK], stops[i : i + _CHUNK])])
+        for i in range(0, len(parts), _CHUNK):
+            data = b"".join([digest(x, seed) for x in parts[i : i + _CHUNK]])
             ones += np.unpackbits(np.frombuffer(data, dtype=np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-        out.append(np.packbits(2 * ones > n).tobytes())
+        out.append(np.packbits(2 * ones > len(parts)).tobytes())
     return out
 
 
-def fingerprints(docs: DataFrame, k: int, seeds: tuple[int, ...] = (42,), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, f0, f1, ...): one signed long for each seed."""
+def fingerprints(docs: DataFrame, k: int, seeds: tuple[int, ...] = (42,), distinct: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, f0, f1, ...): one signed long for each seed; with ``distinct``, repeated shingles count once."""
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [fingerprint(t.as_py(), k, seeds) for t in batch.column(1)]
+        each = (shingles(t.as_py(), k) for t in batch.column(1))
+        found = [fingerprint(list(set(x)) if distinct else x, seeds) for x in each]
         cols = [np.frombuffer(b"".join(f[i] for f in found), dtype=">i8").astype(np.int64) for i in range(len(seeds))]
         return pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, cols)], names=["doc_id", *(f"f{i}" for i in range(len(seeds)))])
 
@@ -176,10 +180,67 @@ def near_duplicates(docs: DataFrame, k: int = 4, id_col: str = "doc_id", text_co
     returned; a null id is never the smallest (a class of null ids only has a
     null component_id). Other columns are ignored.
     """
-    found = materialize(fingerprints(docs, k, (42,), id_col, text_col), "simhash")
+    found = materialize(fingerprints(docs, k, (42,), id_col=id_col, text_col=text_col), "simhash")
     labels = near_classes(found)
     return found.join(labels, "f0").select("doc_id", F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), "component_id")
 
 
+#: Fingerprint of the similarity stage: words of 64 bits, block width, and bits that candidates may differ in.
+SEEDS, BLOCK_BITS, WITHIN = (42, 43, 44), 32, 42
+
+
+def shingle_sets(docs: DataFrame, ids: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
+    """(node, hashes): sorted distinct 32-bit shingle hashes of the documents in ``ids`` (column node)."""
+    rows = as_bytes(docs, id_col, text_col).join(hinted(ids), F.col("_id") == F.col("node"), "left_semi")
+
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [np.unique(np.array([xxhash.xxh32_intdigest(x) for x in set(shingles(t.as_py(), k))], dtype=np.uint32)).view(np.int32) for t in batch.column(1)]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int32()))], names=["node", "hashes"])
+
+    return map_rows(rows, lambda: step, "node long, hashes array<int>").dropDuplicates(["node"])
+
+
+def similar_links(docs: DataFrame, found: DataFrame, k: int, similarity: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Distinct fingerprints (node, f0, ...; node the smallest id) and their links of at least ``similarity``.
+
+    Candidates share a variant of a block and differ in at most ``WITHIN`` bits
+    of the whole fingerprint; the Jaccard similarity of their shingle sets
+    decides.
+    """
+    names = [f"f{i}" for i in range(len(SEEDS))]
+    nodes = materialize(found.where("doc_id is not null").groupBy(*names).agg(F.min("doc_id").alias("node")), "fingerprints")
+    blocks = [Block(w, low, BLOCK_BITS) for w in range(len(SEEDS)) for low in range(0, 64, BLOCK_BITS)]
+    prefix = min(16, max(6, (nodes.count() // 4000).bit_length()))
+    links = materialize(ball_links(nodes, blocks, 4, len(SEEDS), WITHIN, prefix).distinct(), "candidates")
+    sets = materialize(shingle_sets(docs, links.select(F.explode(F.array("a", "b")).alias("node")).distinct(), k, id_col, text_col), "shingles")
+    first = links.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a")
+    both = first.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    close = common >= similarity * (F.size("x") + F.size("y") - common)
+    return nodes, both.where(close).select("a", "b")
+
+
+def drop_near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one document, that of the smallest id, of each class of near duplicates; all columns stay.
+
+    Fingerprints are taken over distinct shingles, so equal fingerprints mean
+    equal shingle sets. Rows without an id are kept and not compared; of rows
+    that repeat an id and its text, one stays.
+    """
+    names = [f"f{i}" for i in range(len(SEEDS))]
+    found = materialize(fingerprints(docs, k, SEEDS, True, id_col, text_col), "simhash")
+    nodes, links = similar_links(docs, found, k, similarity, id_col, text_col)
+    rooted = nodes.join(components(materialize(links, "links")), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    labelled = found.join(rooted.select(*names, "root"), names)
+    dropped = materialize(labelled.where("doc_id <> root").select(F.col("doc_id").alias("node")).distinct(), "dropped")
+    here = F.col(id_col).cast("long")
+    kept = docs.join(hinted(dropped), here == F.col("node"), "left_anti")
+    repeated = materialize(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("node")), "repeated")
+    if repeated.isEmpty():
+        return kept
+    again = hinted(repeated)
+    return kept.join(again, here == F.col("node"), "left_anti").unionByName(kept.join(again, here == F.col("node"), "left_semi").dropDuplicates([id_col, text_col]))
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

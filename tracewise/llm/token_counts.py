@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import lru_cache
+from math import inf
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -58,29 +59,30 @@ def count_pieces(word: str, path: str) -> int:
     """Pieces of the best segmentation of one word (its leading space mark included)."""
     auto, unknown, known = automaton(path)
     n = len(word)
-    ends: list[list[tuple[int, float]]] = [[] for _ in range(n)]
-    for end, hit in auto.iter(word):
-        ends[end].append(hit)
     # for each position: score, pieces so far without those of the open unknown run, start of that run or -1
-    score, count, run = [0.0] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
-    for end in range(1, n + 1):
-        best, at, one = None, -1, False
-        for length, s in sorted(ends[end - 1], reverse=True):
-            one |= length == 1
-            total = score[end - length] + s
-            if best is None or total > best:
-                best, at = total, end - length
-        as_unknown = False
-        if not one:
-            total = score[end - 1] + unknown
-            if best is None or total > best:
-                best, at, as_unknown = total, end - 1, True
-        score[end] = best
-        if as_unknown:
-            run[end] = run[at] if run[at] >= 0 else at
-            count[end] = count[at]
+    score, count, run = [0.0] + [-inf] * n, [0] * (n + 1), [-1] * (n + 1)
+
+    def close(end: int, at: int, single: bool) -> None:
+        """Settles position ``end``, whose best last piece starts at ``at`` (-1: none)."""
+        if not single and (at < 0 or score[end - 1] + unknown > score[end]):
+            score[end], count[end] = score[end - 1] + unknown, count[end - 1]
+            run[end] = run[end - 1] if run[end - 1] >= 0 else end - 1
         else:
-            count[end] = count[at] + (spelt(word[run[at] : at], known) if run[at] >= 0 else 0) + 1
+            count[end] = count[at] + 1 + (spelt(word[run[at] : at], known) if run[at] >= 0 else 0)
+
+    now, best, at, single = 1, -inf, -1, False
+    for last, (length, s) in auto.iter(word):  # by end, longest first
+        while now <= last:
+            close(now, at, single)
+            now, best, at, single = now + 1, -inf, -1, False
+        total = score[last + 1 - length] + s
+        if total > best:
+            score[last + 1] = best = total
+            at = last + 1 - length
+        single |= length == 1
+    while now <= n:
+        close(now, at, single)
+        now, at, single = now + 1, -1, False
     return count[n] + (spelt(word[run[n] :], known) if run[n] >= 0 else 0)
 
 
@@ -92,7 +94,7 @@ def spelt(chars: str, known: frozenset[str]) -> int:
 
 @lru_cache(maxsize=2)
 def count_cache(path: str) -> BoundedCache:
-    return BoundedCache(lambda words: [count_pieces(SPACE + w.decode("utf-8", "replace"), path) for w in words], limit=600_000)
+    return BoundedCache(lambda words: [count_pieces(SPACE + w.decode("utf-8", "replace"), path) for w in words], limit=400_000)
 
 
 def count_tokens(text: bytes | None, path: str) -> int:
