@@ -19,8 +19,7 @@ from pyspark.sql import functions as F
 from .common import materialize, table
 
 WINDOW = 8
-SYMBOLS = "#*$%&|<>"
-_SPACES = "\t\n\x0b\x0c\r "
+_SPACE = r"\x20\x09-\x0D"
 RULES = ("symbols", "lines", "repeats", "letters", "capitals", "length", "shape", "glyphs")
 
 
@@ -29,9 +28,9 @@ def let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _chars(text: Column, dropped: str) -> Column:
-    """Characters of ``text`` that are in ``dropped``."""
-    return F.length(text) - F.length(F.translate(text, dropped, ""))
+def _count(text: Column, chars: str) -> Column:
+    """Characters of ``text`` in a class (translate() would look up each character in a map)."""
+    return F.length(F.regexp_replace(text, f"[^{chars}]+", "")).cast("long")
 
 
 def repeat_words(words: Column) -> Column:
@@ -65,23 +64,29 @@ def repeat_words(words: Column) -> Column:
 def features(text: Column) -> Column:
     """A struct of counts over the whole text (null: empty)."""
     text = F.coalesce(text.cast("string"), F.lit(""))
-    words = F.filter(F.split(F.translate(text, _SPACES, " " * 6), " "), lambda w: w != "")
-    lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, _SPACES, "")) > 0)
-    ends = F.filter(lines, lambda x: F.rtrim(x).rlike(r"[.!?:;,…\"')\]]$"))
+    words = F.filter(F.split(text, f"[{_SPACE}]+"), lambda w: w != "")
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(f"[^{_SPACE}]"))
     long = lambda c: c.cast("long")
 
+    def of_lines(x: Column) -> Column:
+        ends = F.filter(x, lambda line: F.rtrim(line).rlike(r"[.!?:;,…\"')\]]$"))
+        return F.struct(long(F.size(x)).alias("n"), long(F.size(ends)).alias("ends"), long(F.size(x) - F.size(F.array_distinct(x))).alias("dup"))
+
     def of_words(w: Column) -> Column:
-        return F.struct(
-            long(F.size(w)).alias("n_words"),
-            long(F.length(text) - _chars(text, _SPACES)).alias("word_chars"),
-            long(_chars(text, SYMBOLS)).alias("n_symbols"),
-            long(F.size(lines) - F.size(F.array_distinct(lines))).alias("n_dup_lines"),
-            repeat_words(w).alias("n_repeat_words"),
-            long(F.size(lines)).alias("n_lines"),
-            long(F.size(ends)).alias("n_ends"),
-            long(_chars(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ")).alias("n_upper"),
-            long(_chars(text, "abcdefghijklmnopqrstuvwxyz")).alias("n_lower"),
-            long(_chars(text, "0123456789")).alias("n_digits"),
+        return let(
+            let(lines, of_lines),
+            lambda x: F.struct(
+                long(F.size(w)).alias("n_words"),
+                long(F.length(F.array_join(w, ""))).alias("word_chars"),
+                _count(text, "#*$%&|<>").alias("n_symbols"),
+                x["dup"].alias("n_dup_lines"),
+                repeat_words(w).alias("n_repeat_words"),
+                x["n"].alias("n_lines"),
+                x["ends"].alias("n_ends"),
+                _count(text, "A-Z").alias("n_upper"),
+                _count(text, "a-z").alias("n_lower"),
+                _count(text, "0-9").alias("n_digits"),
+            ),
         )
 
     return let(words, of_words)
