@@ -88,6 +88,9 @@ def test_sql_functions(spark):
     ).first()
     assert (got.n, got.l, got.x, got.e, got.d, got.us, got.i, got.t, got.p, got.z, got.c) == (2, 4.0, 2.0, None, 3.0, 5, True, True, 1, None, False)
     assert got.v == [4.0, 0.0] and got.w is None and got.nothing is None
+    geom = "geometry_from_wkt('POLYGON ((1 -1, 3 -1, 3 1, 1 1, 1 -1))')"
+    at = spark.sql(f"SELECT at_geom({a}, {geom}) g, ever_intersects_geom({a}, {geom}) i, ever_intersects_geom({a}, geometry_from_wkt('POINT(2 0)')) p, min_distance_geom({a}, geometry_from_wkt('POINT(2 3)')) d").first()
+    assert [(i.us, i.x) for z in at.g for i in z.inst] == [(3, 3.0), (8, 1.0)] and (at.i, at.p, at.d) == (True, True, 3.0)
     plan = spark.sql("SELECT trip_length(t) FROM (SELECT named_struct('inst', array(named_struct('us', id, 'x', 1D, 'y', 2D)), 'lower_inc', true, 'upper_inc', true, 'interp', 'LINEAR') t FROM range(9))")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan
 

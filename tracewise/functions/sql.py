@@ -30,6 +30,16 @@ def _pieces(axes: str, rename: dict[str, str]) -> str:
     return f"transform(filter({cut}, s -> {K.kept('s.lo', 's.hi', 's.')}), s -> {piece})"
 
 
+def _ring_pieces() -> str:
+    """Pieces of a trip's segments inside a polygon; touching pieces stay apart."""
+    mid = "((w.c[k - 1] + w.c[k]) / 2)"
+    ends = {f"{a}{j}": (K.at(a, lam, "w.s.") if a != "t" else K.time_at(lam, "w.s.")) for j, lam in ((0, "w.c[k - 1]"), (1, "w.c[k]")) for a in "txy"}
+    piece = _PIECE.format(upper="w.s.upper_inc OR w.c[k] < 1", **ends)
+    body = f"CASE WHEN {K.inside(K.at('x', mid, 'w.s.'), K.at('y', mid, 'w.s.'), 'geom.edges')} THEN {piece} END"
+    cut = f"transform(segs(trip), s -> named_struct('s', s, 'c', {K.ring_cuts('geom.edges', 's.')}))"
+    return f"filter(flatten(transform({cut}, w -> transform(sequence(1, size(w.c) - 1), k -> {body}))), z -> z IS NOT NULL)"
+
+
 def _pairs() -> str:
     t = K.approach("a.", "b.")
     terms = ", ".join(f"'{c}', {t[c]}" for c in ("s", "e", "ax", "ay", "vx", "vy", "lam"))
@@ -99,7 +109,9 @@ def definitions() -> list[tuple[str, str, str, str]]:
         ("min_distance", f"a {SEQ}, b {SEQ}", "DOUBLE", f"array_min(transform(approach_terms(a, b), w -> {dist}))"),
         ("nearest_approach_distance", f"a {SEQ}, b {SEQ}", "DOUBLE", f"array_min(transform(approach_terms(a, b), w -> {dist}))"),
         ("nearest_approach_instant", f"a {SEQ}, b {SEQ}", INSTANT, f"array_min(transform(approach_terms(a, b), w -> named_struct('d', {dist}, 'p', named_struct('us', {when}, 'x', w.px + (w.qx - w.px) * w.lam, 'y', w.py + (w.qy - w.py) * w.lam)))).p"),
-        ("at_geom", f"trip {SEQ}, geom {GEOM}", "DOUBLE", f"aggregate(segs(trip), CAST(0 AS DOUBLE), (acc, s) -> acc + {K.length('s.')} * {K.inside_share(K.ring_cuts('geom.edges', 's.'), 'geom.edges', 's.')})"),
+        ("at_geom", f"trip {SEQ}, geom {GEOM}", SEQSET, _ring_pieces()),
+        ("ever_intersects_geom", f"trip {SEQ}, geom {GEOM}", "BOOLEAN", f"exists(segs(trip), s -> CASE WHEN geom.kind = 'point' THEN {K.point_distance('geom.x', 'geom.y', 's.')} = 0 ELSE {K.inside('s.x0', 's.y0', 'geom.edges')} OR size({K.ring_cuts('geom.edges', 's.')}) > 2 END)"),
+        ("min_distance_geom", f"trip {SEQ}, geom {GEOM}", "DOUBLE", f"CASE WHEN geom.kind = 'point' THEN array_min(transform(segs(trip), s -> {K.point_distance('geom.x', 'geom.y', 's.')})) END"),
     ]
 
 
