@@ -141,9 +141,9 @@ def fit(patterns: list[tuple[tuple, int]], rules: int, rounds: int = 50) -> Mode
     """Expectation-maximisation over (votes, count) pairs.
 
     Rules are taken to be precise and better than chance: false alarms stay at
-    or under 0.3 % and recalls at or over 5 %, so the classes can't change
-    places, votes of good never speak for bad, and kinds of junk that only one
-    rule knows are not taken for noise of that rule.
+    or under 0.3 % and recalls between 20 % and 50 %, so the classes can't change
+    places, votes of good never speak for bad nor outweigh a vote of bad by
+    much, and kinds of junk that only one rule knows are not taken for noise.
     """
     total = sum(c for _, c in patterns) or 1
     weights = [0.95 if any(v == 1 for v in p) else 0.01 for p, _ in patterns]
@@ -155,7 +155,7 @@ def fit(patterns: list[tuple[tuple, int]], rules: int, rounds: int = 50) -> Mode
             said = [(p[k], c, w) for (p, c), w in zip(patterns, weights) if p[k] is not None]
             good_n, bad_n = sum(c * (1 - w) for _, c, w in said), sum(c * w for _, c, w in said)
             alarm.append(min(0.003, max(1e-4, (sum(c * (1 - w) for v, c, w in said if v) + 0.1) / (good_n + 100))))
-            recall.append(min(0.99, max(0.05, (sum(c * w for v, c, w in said if v) + 1) / (bad_n + 4))))
+            recall.append(min(0.5, max(0.2, (sum(c * w for v, c, w in said if v) + 1) / (bad_n + 4))))
         model = Model(min(0.5, max(0.02, bad / total)), tuple(alarm), tuple(recall))
         weights = [1 / (1 + math.exp(-model.log_odds(p))) for p, _ in patterns]
     return model
