@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import hinted, materialize, shared_dir, table  # noqa: F401
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Bytes that are not part of a letter-or-digit word become spaces, A-Z become a-z.
@@ -32,89 +35,80 @@ def spaced_words(text: bytes | None) -> list[bytes]:
     return (text or b"").lower().split()
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder path that the driver and all executors see.
-
-    The parent is ``spark.checkpoint.dir`` of the session; where that is unset
-    (tests on one machine) it is set to a folder of this process.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        import tempfile
-
-        root = tempfile.mkdtemp(prefix="tracewise-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and returns a reader of what was written.
-
-    This cuts the lineage: a lost executor costs a reread, not a recomputation.
-    """
-    spark = df.sparkSession
-    path = shared_dir(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-#: Rows of two longs at most that a broadcast join may send; more are joined by a shuffle.
-BROADCAST_ROWS = 500_000
-
-
-def hinted(df: DataFrame) -> DataFrame:
-    """``df``, a materialized table of a few narrow columns, to be broadcast if it is small enough."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+def as_bytes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Two columns ``_id`` and ``_text`` (UTF-8 bytes, null for null)."""
+    return df.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").cast("binary").alias("_text"))
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+#: Arrow batches are worked on in parts of about this size, which bounds what a Python worker holds beside the batch.
+PART_BYTES = 8 << 20
 
 
-def as_bytes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Two columns ``_id`` and ``_text`` (UTF-8 bytes, null for null)."""
-    return df.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").cast("binary").alias("_text"))
+def tidy() -> None:
+    """Gives memory that this worker no longer uses back to the system; workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # only some C libraries have it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str) -> DataFrame:
-    """``mapInArrow`` with a function that is built once in each task."""
+    """``mapInArrow`` with a function that is built once in each task.
+
+    If the function has an attribute ``close``, that is called at the end.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
         for batch in batches:
-            out = step(batch)
-            if out is not None and out.num_rows:
-                yield out
+            rows = max(1, int(batch.num_rows * PART_BYTES / max(1, batch.nbytes)))
+            for at in range(0, batch.num_rows, rows):
+                out = step(batch.slice(at, rows))
+                if out is not None and out.num_rows:
+                    yield out
+        getattr(step, "close", int)()
+        tidy()
 
     return df.mapInArrow(run, schema)
 
 
-class BoundedCache(dict):
-    """A word cache in two generations of ``limit`` entries at most.
+def grouped(column: pa.Array, size: int = 1 << 20) -> Iterator[list[bytes]]:
+    """Texts of an Arrow column (null: empty), in lists of about ``size`` bytes."""
+    held, total = [], 0
+    for v in column:
+        held.append(v.as_py() or b"")
+        total += len(held[-1])
+        if total >= size:
+            yield held
+            held, total = [], 0
+    if held:
+        yield held
+
 
-    When the young one (the dictionary itself) is full it becomes the old one;
-    words still in use move back, words seen once fade away.
+class BoundedCache:
+    """Values of words, in two generations of ``limit`` entries at most.
+
+    When the young one is full it becomes the old one; words still in use move
+    back, words seen once fade away.
     """
 
     def __init__(self, fill: Callable[[list[bytes]], list], limit: int = 200_000):
-        super().__init__()
-        self.fill, self.limit, self.old = fill, limit, {}
+        self.fill, self.limit = fill, limit
+        self.clear()
+
+    def clear(self) -> None:
+        self.young, self.old = {}, {}
 
-    def prepare(self, words: list[bytes]) -> None:
-        """Makes every word of ``words`` present in the young generation."""
-        new = {w for w in words if w not in self}
+    def prepare(self, words: set[bytes]) -> dict:
+        """A table that holds every word of ``words``, good until the next call."""
+        new = words.difference(self.young)
         if not new:
-            return
-        if len(self) + len(new) > self.limit:
-            self.old = dict(self)
-            self.clear()
-            new = set(words)
-        missing = []
-        for w in new:
-            if (value := self.old.get(w, self)) is self:
-                missing.append(w)
-            else:
-                self[w] = value
+            return self.young
+        if len(self.young) + len(new) > self.limit:
+            self.old, self.young, new = self.young, {}, words
+        known = self.old.keys() & new
+        self.young.update(zip(known, map(self.old.__getitem__, known)))
+        missing = list(new - known)
         for i in range(0, len(missing), 4096):
             part = missing[i : i + 4096]
-            self.update(zip(part, self.fill(part)))
+            self.young.update(zip(part, self.fill(part)))
+        return self.young

@@ -14,6 +14,8 @@ its rank within its run and look up its sequence.
 from __future__ import annotations
 
 import bisect
+import re
+import unicodedata
 import zlib
 from collections.abc import Callable
 from functools import lru_cache
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BoundedCache, as_bytes, map_rows, materialize, table
+from .common import BoundedCache, as_bytes, grouped, map_rows, materialize, table
 
 CAPACITY = 2048
 #: Parts into which each run of equal lengths is split to rank it in parallel.
@@ -37,41 +39,88 @@ def default_tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-@lru_cache(maxsize=2)
-def token_cache(path: str) -> BoundedCache:
-    """Word to its token ids as packed little-endian unsigned 32-bit integers.
+def _latin() -> tuple[re.Pattern, bytes]:
+    """The tokenizer's split and lower-casing, for texts of Latin-1 characters.
+
+    Such texts are in normal form, and each character is a byte.
+    """
+    kinds = {c: [chr(i) for i in range(256) if unicodedata.category(chr(i))[0] == c] for c in "LN"}
+    letters, numbers = (re.escape("".join(kinds[c])) for c in "LN")
+    parts = f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^\\x09-\\x0d \\x85\\xa0{letters}{numbers}]+"
+    lower = [chr(i).lower() for i in range(256)]
+    return re.compile(parts.encode("latin-1")), "".join(c if len(c) == 1 and c < "\u0100" else chr(i) for i, c in enumerate(lower)).encode("latin-1")
+
 
-    The tokenizer drops white space and never joins across it, so a text's ids
-    are those of its white-space-separated words in turn.
+_PARTS, _LOWER = _latin()
+
+
+class Tokens:
+    """Token ids of words, packed as little-endian unsigned 32-bit integers.
+
+    The tokenizer splits a text before it looks for tokens, so a text's ids are
+    those of its parts in turn. Texts of Latin-1 characters are split exactly
+    as the tokenizer does; others at white space, which it drops and never
+    joins across. Both kinds have a cache of their own.
     """
-    from tokenizers import Tokenizer
 
-    tok = Tokenizer.from_file(path)
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tok = Tokenizer.from_file(path)
+        self.closing = np.zeros(self.tok.get_vocab_size(), dtype=bool)  # tokens that end a part
+        self.closing[[i for piece, i in self.tok.get_vocab().items() if piece.endswith("</w>")]] = True
+        self.parts = BoundedCache(self.encode_parts, limit=300_000)
+        self.words = BoundedCache(lambda words: self.encode([w.decode("utf-8", "replace") for w in words]), limit=100_000)
+
+    def clear(self) -> None:
+        """Forgets all words: a task meets most of its words by itself, and workers outlive their tasks."""
+        self.parts.clear()
+        self.words.clear()
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode_parts(self, parts: list[bytes]) -> list[bytes]:
+        """All parts are tokenized as one text and told apart by the tokens that end a part."""
+        texts = [p.decode("latin-1") for p in parts]
+        ids = np.asarray(self.tok.encode_batch_fast([" ".join(texts)], add_special_tokens=False)[0].ids, dtype="<u4")
+        ends = (4 * (np.flatnonzero(self.closing[ids]) + 1)).tolist()
+        if len(ends) != len(parts):
+            return self.encode(texts)
+        data = ids.tobytes()
+        return [data[a:b] for a, b in zip([0, *ends], ends)]
+
+    def of(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text (UTF-8), four bytes each, without the closing id."""
+        split: list[tuple[bool, list[bytes]]] = []
+        for t in texts:
+            try:
+                if b"<|" in t:  # may spell a special token
+                    raise UnicodeError
+                split.append((True, _PARTS.findall((t if t.isascii() else t.decode("utf-8").encode("latin-1")).translate(_LOWER))))
+            except UnicodeError:
+                split.append((False, t.split()))
+        tables = [c.prepare(set().union(*(w for latin, w in split if latin is kind))).__getitem__ for c, kind in ((self.words, False), (self.parts, True))]
+        return [b"".join(map(tables[latin], words)) for latin, words in split]
 
-    def fill(words: list[bytes]) -> list[bytes]:
-        found = tok.encode_batch([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in found]
 
-    return BoundedCache(fill)
+@lru_cache(maxsize=2)
+def tokens(path: str) -> Tokens:
+    return Tokens(path)
 
 
-def packed_ids(text: bytes | None, path: str) -> bytes:
-    """The ids of a text, four bytes each, without the closing id."""
-    cache, words = token_cache(path), (text or b"").split()
-    try:
-        return b"".join([cache[w] for w in words])
-    except KeyError:
-        cache.prepare(words)
-        return b"".join([cache[w] for w in words])
+def packed_ids(texts: list[bytes], path: str) -> list[bytes]:
+    return tokens(path).of(texts)
 
 
 def piece_maker(path: str, capacity: int, end: bytes) -> Callable[[pa.RecordBatch], pa.RecordBatch]:
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         out: list[tuple] = []
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            ids = packed_ids(text.as_py(), path) + end
-            for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                part = ids[at : at + 4 * capacity]
+        ids = (x for texts in grouped(batch.column(1)) for x in packed_ids(texts, path))
+        for doc_id, found in zip(batch.column(0).to_pylist(), ids):
+            found += end
+            for k, at in enumerate(range(0, len(found), 4 * capacity)):
+                part = found[at : at + 4 * capacity]
                 out.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)))
         cols = list(zip(*out)) if out else [[]] * 5
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
@@ -79,6 +128,7 @@ def piece_maker(path: str, capacity: int, end: bytes) -> Callable[[pa.RecordBatc
             [pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32"]
         )
 
+    step.close = lambda: tokens(path).clear()
     return step
 
 

@@ -22,7 +22,7 @@ from math import inf
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import BoundedCache, as_bytes, map_rows, table
+from .common import BoundedCache, as_bytes, grouped, map_rows, table
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -94,30 +94,24 @@ def spelt(chars: str, known: frozenset[str]) -> int:
 
 @lru_cache(maxsize=2)
 def count_cache(path: str) -> BoundedCache:
-    return BoundedCache(lambda words: [count_pieces(SPACE + w.decode("utf-8", "replace"), path) for w in words], limit=400_000)
+    return BoundedCache(lambda words: [count_pieces(SPACE + w.decode("utf-8", "replace"), path) for w in words], limit=300_000)
 
 
-def count_tokens(text: bytes | None, path: str) -> int:
-    """Tokens of a text: white space separates words and each word starts with the space mark."""
-    cache, words = count_cache(path), (text or b"").split()
-    try:
-        return sum([cache[w] for w in words])
-    except KeyError:
-        cache.prepare(words)
-        return sum([cache[w] for w in words])
+def count_tokens(texts: list[bytes], path: str) -> list[tuple[int, int]]:
+    """Words and tokens of each text: white space separates words and each word starts with the space mark."""
+    split = [t.split() for t in texts]
+    known = count_cache(path).prepare(set().union(*split)).__getitem__
+    return [(len(words), sum(map(known, words))) for words in split]
 
 
 def counter(path: str) -> Callable[[pa.RecordBatch], pa.RecordBatch]:
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        words, tokens = [], []
-        for text in batch.column(1):
-            data = text.as_py()
-            words.append(len((data or b"").split()))
-            tokens.append(count_tokens(data, path))
+        found = [x for texts in grouped(batch.column(1)) for x in count_tokens(texts, path)]
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(words, pa.int64()), pa.array(tokens, pa.int64())], names=["doc_id", "n_words", "n_tokens"]
+            [batch.column(0), pa.array([n for n, _ in found], pa.int64()), pa.array([t for _, t in found], pa.int64())], names=["doc_id", "n_words", "n_tokens"]
         )
 
+    step.close = lambda: count_cache(path).clear()
     return step
 
 

@@ -75,9 +75,7 @@ class Crf:
 
     def events(self, words: list[bytes]) -> tuple[list[int], list[float]]:
         """Numbers of the words that have a weight, and their potentials of the toxic state."""
-        cache = self.cache
-        cache.prepare(words)
-        e = [cache[w] for w in words]
+        e = list(map(self.cache.prepare(set(words)).__getitem__, words))
         at = [i for i, x in enumerate(e) if x is not None]
         return at, [e[i] for i in at]
 
