@@ -17,7 +17,7 @@ from ..operators import partitioners as P
 from ..operators import restrict as R
 from ..operators import tiling
 from ..operators import trajectory as T
-from .world import SQL, World
+from .world import DAY, SQL, World
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -345,3 +345,63 @@ def hash_assign(w: World) -> DataFrame:
 def minmax_normalise(w: World) -> DataFrame:
     ends = w.points.groupBy("vehid").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
     return w.points.join(ends, "vehid").selectExpr("event_id", "CASE WHEN hi > lo THEN (x - lo) / (hi - lo) ELSE CAST(0 AS DOUBLE) END AS x_norm")
+
+
+# --- tile joins, text, SQL functions, sessions ----------------------------------
+
+
+@query(f"SELECT mo_id, s.vehid, instantid, {q(K.at('x', _LAM), 'x', 2)} FROM segs s, instants WHERE {K.covers('us')}")
+def positions_by_tile(w: World) -> DataFrame:
+    """Pieces and instants meet by tile; a position on a border of tiles comes once."""
+    grid = P.Grid(CELLS).grid(w.points)
+    pieces = tiling.tile_segments(w.segments, grid)
+    at = tiling.tile(w.instants, grid, "t", {"t": ("us", "us")})
+    found = pieces.join(at, "tileid").where(K.covers("us")).selectExpr("mo_id", "vehid", "instantid", f"{K.at('x', _LAM)} AS x")
+    return found.groupBy("mo_id", "vehid", "instantid").agg(F.expr(q("min(x)", "x", 2)))
+
+
+@query("SELECT mo_id, count(*) AS n, min(us) AS first_us, max(us) AS last_us, min(x) AS xmin, max(y) AS ymax, count(*) = 1 AS upper_inc FROM pts GROUP BY mo_id")
+def text_round_trip(w: World) -> DataFrame:
+    """Trips written as text and read back."""
+    from ..sources import text
+
+    written = w.trips.selectExpr("mo_id", f"{text.show_sequence('trip')} AS txt")
+    trips = written.selectExpr("mo_id", f"{text.sequence('txt')} AS trip")
+    return trips.selectExpr(
+        "mo_id", "CAST(size(trip.inst) AS BIGINT) AS n", "array_min(trip.inst.us) AS first_us", "array_max(trip.inst.us) AS last_us",
+        "array_min(trip.inst.x) AS xmin", "array_max(trip.inst.y) AS ymax", "trip.upper_inc AS upper_inc",
+    )
+
+
+@query(
+    f"SELECT mo_id, count(*) AS segments, {q(f'sum({K.length()})', 'length', 2)}, max(CASE WHEN {K.covers(str(10 * DAY))} THEN {K.quantised(K.at('x', K.fraction(str(10 * DAY))))} END) AS x_at, "
+    f"bool_or({K.kept(*K.clip('xy', '', 'b.'))}) AS meets FROM segs, (SELECT 20.0 AS xmin, 60.0 AS xmax, 20.0 AS ymin, 60.0 AS ymax) b GROUP BY mo_id"
+)
+def sql_functions(w: World) -> DataFrame:
+    """Registered SQL functions on nested trips."""
+    from ..functions import sql
+
+    sql.register(w.spark)
+    box = "bounds_as_box(20D, 60D, 20D, 60D, NULL, NULL, NULL, NULL)"
+    return w.trips.selectExpr(
+        "mo_id", "CAST(size(segs(trip)) AS BIGINT) AS segments", q("trip_length(trip)", "length", 2), f"{K.quantised(f'tpoint_at(trip, {10 * DAY}L).x')} AS x_at", f"ever_intersects(trip, {box}) AS meets"
+    )
+
+
+@query(
+    "SELECT vehid, min(us) AS first_us, count(*) AS n, min(x) AS xmin, max(x) AS xmax, min(y) AS ymin, max(y) AS ymax FROM (SELECT *, sum(fresh) OVER (PARTITION BY vehid ORDER BY us, event_id) AS k FROM "
+    "(SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY vehid ORDER BY us, event_id) < 21600000000 THEN 0 ELSE 1 END AS fresh FROM pts)) GROUP BY vehid, k"
+)
+def session_trips(w: World) -> DataFrame:
+    """Trips closed by six hours without a point."""
+    from ..streaming.trips import sessions
+
+    found = sessions(w.points.withColumn("ts", F.timestamp_micros("us")), "6 hours")
+    return found.select("vehid", F.unix_micros("start").alias("first_us"), "n", "xmin", "xmax", "ymin", "ymax")
+
+
+@query("SELECT vehid, us // 1000000 * 1000000 AS us, x, y FROM (SELECT *, row_number() OVER (PARTITION BY vehid, us // 1000000 ORDER BY event_id) AS rn FROM raw) WHERE rn = 1")
+def points_at_seconds(w: World) -> DataFrame:
+    """The first point of each vehicle and second, as trips are loaded."""
+    raw = w.raw.withColumn("us", F.expr("us div 1000000 * 1000000"))
+    return T.dedup_points(raw, key="vehid", keep=("x", "y"))
