@@ -9,32 +9,54 @@ from ..functions import kernels as K
 from ..shared import hinted
 from .restrict import _cut
 
-_MEET = {a: f"{{lo}} <= {a}max AND {{hi}} >= {a}min" for a in "xyt"}
+def meet(things: DataFrame, grid: DataFrame, columns: dict[str, tuple[str, str]], how: str = "inner") -> DataFrame:
+    """Pairs of things and boxes that overlap, borders in.
+
+    ``columns`` gives, for each axis, the expressions of a thing's lower and
+    upper end. Both sides are filed under the cells of a regular index over the
+    grid's extent, with about as many cells as the grid has boxes, so the join
+    has an equality for any grid; a pair is taken in the cell where the common
+    part begins, so once.
+    """
+    ends = grid.agg(*(f(F.col(f"{a}{f.__name__}").cast("double")) for a in columns for f in (F.min, F.max)), F.count("*")).first()
+    if ends[0] is None:
+        return things.join(grid, F.lit(False), how)
+    cell, cells = {}, max(1, round(ends[-1] ** (1 / len(columns))))
+    for k, a in enumerate(columns):
+        lo, hi = ends[2 * k], ends[2 * k + 1]
+        width = (hi - lo) / cells or 1.0
+        cell[a] = lambda v, lo=lo, width=width: f"CAST(least({cells - 1}, greatest(0, floor((CAST({v} AS DOUBLE) - CAST({lo!r} AS DOUBLE)) / CAST({width!r} AS DOUBLE)))) AS INT)"
+    overlap = " AND ".join(f"{lo} <= {a}max AND {hi} >= {a}min" for a, (lo, hi) in columns.items())
+    boxes = grid
+    for a, (lo, hi) in columns.items():
+        spread = [cell[a](lo), cell[a](hi)]
+        things = things.withColumn(f"_of_{a}", F.expr(spread[0])).withColumn(f"_in_{a}", F.expr(spread[0] if lo == hi else f"explode(sequence({spread[0]}, {spread[1]}))"))
+        boxes = boxes.withColumn(f"_box_{a}", F.expr(cell[a](f"{a}min"))).withColumn(f"_at_{a}", F.expr(f"explode(sequence(_box_{a}, {cell[a](f'{a}max')}))"))
+    same = " AND ".join(f"_in_{a} = _at_{a} AND _in_{a} = greatest(_of_{a}, _box_{a})" for a in columns)
+    marks = [f"_{m}_{a}" for a in columns for m in ("of", "in", "box", "at")]
+    return things.join(hinted(boxes), F.expr(f"{same} AND {overlap}"), how).drop(*marks)
 
 
 def tile_segments(segments: DataFrame, grid: DataFrame, axes: str = "xyt") -> DataFrame:
     """Pieces of segments clipped to tiles, borders in (mo_id, vehid, tileid, piece, length)."""
-    meet = " AND ".join(_MEET[a].format(lo=f"least({a}0, {a}1)", hi=f"greatest({a}0, {a}1)") for a in axes)
+    both = meet(segments, grid, {a: (f"least({a}0, {a}1)", f"greatest({a}0, {a}1)") for a in axes})
     lo, hi = K.clip(axes)
-    both = segments.join(hinted(grid), F.expr(meet)).withColumns({"_lo": F.expr(lo), "_hi": F.expr(hi)}).where(K.kept("_lo", "_hi"))
-    return _cut(both, "_lo", "_hi", "mo_id", "vehid", "tileid")
+    return _cut(both.withColumns({"_lo": F.expr(lo), "_hi": F.expr(hi)}).where(K.kept("_lo", "_hi")), "_lo", "_hi", "mo_id", "vehid", "tileid")
 
 
 def tile(things: DataFrame, grid: DataFrame, axes: str, columns: dict[str, tuple[str, str]], condition: str | None = None) -> DataFrame:
-    """Whole rows of ``things`` with each tile that they overlap.
+    """Whole rows of ``things`` with each tile whose box they overlap and, if given, that meets ``condition``.
 
     ``columns`` names each axis' lower and upper column (the same for points
-    and instants). ``condition`` replaces the box test. Tiles of a grid are
-    few; a grid that is not is joined without broadcasting.
+    and instants).
     """
-    meet = condition or " AND ".join(_MEET[a].format(lo=columns[a][0], hi=columns[a][1]) for a in axes)
-    return things.join(hinted(grid), F.expr(meet)).select(*things.columns, "tileid")
+    both = meet(things, grid, {a: columns[a] for a in axes})
+    return (both.where(condition) if condition else both).select(*things.columns, "tileid")
 
 
 def tile_of_points(points: DataFrame, grid: DataFrame, axes: str = "xyt") -> DataFrame:
     """Adds the first tile that holds each point, -1 where none does."""
-    meet = " AND ".join(_MEET[a].format(lo="us" if a == "t" else a, hi="us" if a == "t" else a) for a in axes)
-    found = points.join(hinted(grid), F.expr(meet), "left")
+    found = meet(points, grid, {a: ("us", "us") if a == "t" else (a, a) for a in axes}, "left")
     return found.groupBy(*points.columns).agg(F.coalesce(F.min("tileid"), F.lit(-1)).alias("tileid"))
 
 
