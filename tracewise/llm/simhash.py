@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, hinted, map_rows, materialize, spaced_words, table
+from .common import as_bytes, hinted, map_rows, materialize, spaced_words, table, tidy
 from .components import components
 
 _CHUNK = 1 << 16
@@ -126,11 +126,41 @@ def stars(values: np.ndarray, left: np.ndarray, width: int, radius: int, limit:
     return np.stack([pairs // len(values), pairs % len(values)], axis=1)
 
 
-def ball_links(nodes: DataFrame, blocks: list[Block], radius: int, n_words: int, within: int, prefix_bits: int, limit: int = 4_000_000) -> DataFrame:
+def forest(a: np.ndarray, b: np.ndarray, apart: np.ndarray) -> np.ndarray:
+    """Places of the links that a minimum spanning forest by distance keeps, ties by the nodes.
+
+    What the links connect stays connected, so a bucket of near copies gives a
+    link less than it has members.
+    """
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = parent[up]
+            x = up
+        return x
+
+    kept = []
+    order = np.lexsort((np.maximum(a, b), np.minimum(a, b), apart))
+    for k, x, y in zip(order.tolist(), a[order].tolist(), b[order].tolist()):
+        x, y = root(x), root(y)
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            kept.append(k)
+    return np.array(kept, dtype=np.int64)
+
+
+def prefix_for(n: int, least: int = 5, load: int = 1_000_000) -> int:
+    """Bucket bits that leave ``load`` rows in an average bucket at most."""
+    return next(p for p in range(least, 25) if p == 24 or n * len(masks(p, 2)) <= load << p)
+
+
+def ball_links(nodes: DataFrame, blocks: list[Block], radius: int, n_words: int, within: int, prefix_bits: int, limit: int = 1_000_000) -> DataFrame:
     """Links (a, b) between nodes that collide in a block and differ in ``within`` bits at most overall.
 
-    ``nodes`` has columns node and f0, f1, ...; all rows of a node-and-bucket
-    group are held by one task, variants by parts of ``limit``.
+    ``nodes`` has columns node and f0, f1, ...; all rows of a bucket are held
+    by one task, their variants by parts of ``limit``. Of the links in a
+    bucket, those of a minimum spanning forest are returned.
     """
     half, names = radius // 2, [f"f{i}" for i in range(n_words)]
     keys = ",".join(f"{m}L" for m in masks(prefix_bits, half))
@@ -145,6 +175,7 @@ def ball_links(nodes: DataFrame, blocks: list[Block], radius: int, n_words: int,
         rows = rows.union(p)
 
     def collide(group: pa.Table) -> pa.Table:
+        group = group.sort_by("node")
         node = group.column("node").to_numpy()
         words = [np.ascontiguousarray(group.column(n).to_numpy()) for n in names]
         bucket = int(group.column("bucket")[0].as_py())
@@ -155,7 +186,10 @@ def ball_links(nodes: DataFrame, blocks: list[Block], radius: int, n_words: int,
         a, b = found[:, 0], found[:, 1]
         apart = sum(ones((w[a] ^ w[b]).view(np.uint64)).astype(np.int64) for w in words)
         ok = apart <= within
-        return pa.table({"a": pa.array(node[a[ok]], pa.int64()), "b": pa.array(node[b[ok]], pa.int64())})
+        a, b = node[a[ok]], node[b[ok]]
+        kept = forest(a, b, apart[ok])
+        tidy()
+        return pa.table({"a": pa.array(a[kept], pa.int64()), "b": pa.array(b[kept], pa.int64())})
 
     return rows.groupBy("bucket").applyInArrow(collide, "a long, b long")
 
@@ -203,15 +237,14 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, k: int, id_col: str, text_col:
 def similar_links(docs: DataFrame, found: DataFrame, k: int, similarity: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """Distinct fingerprints (node, f0, ...; node the smallest id) and their links of at least ``similarity``.
 
-    Candidates share a variant of a block and differ in at most ``WITHIN`` bits
-    of the whole fingerprint; the Jaccard similarity of their shingle sets
-    decides.
+    Candidates share a variant of a block, differ in at most ``WITHIN`` bits of
+    the whole fingerprint and are the nearest that connect a bucket; the
+    Jaccard similarity of their shingle sets decides.
     """
     names = [f"f{i}" for i in range(len(SEEDS))]
     nodes = materialize(found.where("doc_id is not null").groupBy(*names).agg(F.min("doc_id").alias("node")), "fingerprints")
     blocks = [Block(w, low, BLOCK_BITS) for w in range(len(SEEDS)) for low in range(0, 64, BLOCK_BITS)]
-    prefix = min(16, max(6, (nodes.count() // 4000).bit_length()))
-    links = materialize(ball_links(nodes, blocks, 4, len(SEEDS), WITHIN, prefix).distinct(), "candidates")
+    links = materialize(ball_links(nodes, blocks, 4, len(SEEDS), WITHIN, prefix_for(nodes.count())).distinct(), "candidates")
     sets = materialize(shingle_sets(docs, links.select(F.explode(F.array("a", "b")).alias("node")).distinct(), k, id_col, text_col), "shingles")
     first = links.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a")
     both = first.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
