@@ -57,8 +57,10 @@ def in_polygons(segments: DataFrame, polygons: DataFrame, polygon_id: str) -> Da
     """Segments with the share of each that lies in a polygon (column edges), where that is more than nothing."""
     box = {f"_{a}{f}": F.expr(f"array_{f}(transform(edges, q -> q.a{a}))") for a in "xy" for f in ("min", "max")}
     meet = " AND ".join(f"least({a}0, {a}1) <= _{a}max AND greatest({a}0, {a}1) >= _{a}min" for a in "xy")
-    both = segments.join(hinted(polygons.withColumns(box)), F.expr(meet)).withColumn("_cuts", F.expr(K.ring_cuts("edges")))
-    return both.withColumn("share", F.expr(K.inside_share("_cuts", "edges"))).where("share > 0").drop("_cuts", *box)
+    both = segments.join(hinted(polygons.withColumns(box)), F.expr(meet))
+    # cuts are bound as a lambda variable: as a column they would be computed anew for every use
+    share = f"get(transform(array({K.ring_cuts('edges')}), cuts -> {K.inside_share('cuts', 'edges')}), 0)"
+    return both.withColumn("share", F.expr(share)).where("share > 0").drop(*box)
 
 
 def ever_intersects_boxes(segments: DataFrame, boxes: DataFrame, box_id: str) -> DataFrame:
@@ -90,5 +92,6 @@ def passes_points(segments: DataFrame, points: DataFrame, cell: float = 16.0) ->
     cells = [F.explode(F.sequence(F.floor(F.least(f"{a}0", f"{a}1") / cell), F.floor(F.greatest(f"{a}0", f"{a}1") / cell))) for a in "xy"]
     s = segments.withColumn("_cx", cells[0]).withColumn("_cy", cells[1])
     p = points.select("pointid", F.col("x").alias("px"), F.col("y").alias("py"), F.floor(F.col("x") / cell).alias("_cx"), F.floor(F.col("y") / cell).alias("_cy"))
-    on = f"{K.point_distance('px', 'py')} = 0 AND (t0 = t1 OR upper_inc OR NOT (px = x1 AND py = y1) OR (x0 = x1 AND y0 = y1))"
+    box = "px BETWEEN least(x0, x1) AND greatest(x0, x1) AND py BETWEEN least(y0, y1) AND greatest(y0, y1)"
+    on = f"{box} AND {K.point_distance('px', 'py')} = 0 AND (t0 = t1 OR upper_inc OR NOT (px = x1 AND py = y1) OR (x0 = x1 AND y0 = y1))"
     return s.join(p, ["_cx", "_cy"]).where(on).select("mo_id", "vehid", "pointid")
