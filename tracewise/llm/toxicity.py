@@ -33,7 +33,7 @@ STEPS = 24
 #: Features that favour toxic documents this much (log ratio) are in the lexicon, or mark toxic words.
 IN_LEXICON, MARKED, SEEN = 1.0, 2.5, 4
 THRESHOLD = 0.3
-FAINT = 0.2
+FAINT = 0.35
 _POWERS = 64
 
 
@@ -132,24 +132,27 @@ def fit(texts: list[list[bytes]], labels: list[int], rounds: int = 60) -> Crf:
     ranked = sorted((f for f in ratio if ratio[f] > IN_LEXICON), key=lambda f: (-ratio[f], f))[:LEXICON]
     lexicon = {f: i for i, f in enumerate(ranked)}
     marked = {f for f in ranked if ratio[f] > MARKED}
-    busy: list[tuple[list[list[int]], list[int]]] = []
-    idle: list[tuple[list[list[int]], list[int]]] = []
-    for words, y in zip(texts, labels):
-        for i in range(0, max(1, len(words)), STEPS):
-            part = words[i : i + STEPS]
-            ids = [[lexicon[f] for f in parts(w) if f in lexicon] for w in part]
-            tags = [int(bool(y) and any(f in marked for f in parts(w))) for w in part]
-            if part:
-                (busy if any(ids) else idle).append((ids, tags))
-    windows = busy[:: len(busy) // TRAIN_WINDOWS + 1]
-    windows += idle[:: len(idle) // max(1, min(len(windows), TRAIN_WINDOWS - len(windows)) + 1) + 1]
+    numbers: dict[bytes, tuple[int, ...]] = {}  # lexicon features of each distinct word
+    for words in texts:
+        for w in words:
+            if w not in numbers:
+                numbers[w] = tuple(lexicon[f] for f in parts(w) if f in lexicon)
+    spots = [(k, i) for k, words in enumerate(texts) for i in range(0, len(words), STEPS)]
+    busy = [(k, i) for k, i in spots if any(numbers[w] for w in texts[k][i : i + STEPS])]
+    idle = sorted(set(spots).difference(busy))
+    chosen = busy[:: len(busy) // TRAIN_WINDOWS + 1]
+    chosen += idle[:: len(idle) // max(1, min(len(chosen), TRAIN_WINDOWS - len(chosen)) + 1) + 1]
+    windows = []
+    for k, i in chosen:
+        part = texts[k][i : i + STEPS]
+        windows.append(([numbers[w] for w in part], [int(bool(labels[k]) and any(f in marked for f in parts(w))) for w in part]))
     crf = train(windows, lexicon, rounds)
     scored = [crf.marginals(*crf.events(w), len(w)) for w in texts]
     crf.slope, crf.offset = platt([evidence(p) for p in scored], labels)
     return crf
 
 
-def train(windows: list[tuple[list[list[int]], list[int]]], lexicon: dict[bytes, int], rounds: int) -> Crf:
+def train(windows: list[tuple[list[tuple[int, ...]], list[int]]], lexicon: dict[bytes, int], rounds: int) -> Crf:
     """Maximises the regularised likelihood of the window labels by Adam, all windows at once."""
     n, size = len(windows), len(lexicon)
     theta = np.zeros(size + 5)  # weights, bias, trans
@@ -237,7 +240,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         )
 
     sample = sorted({(r["_id"], bytes(r["words"]), int(r["y"] > 0)) for r in map_rows(rows, lambda: step, "_id long, words binary, y long").toLocalIterator()})
-    return fit([w.split() for _, w, _ in sample], [y for _, _, y in sample])
+    shared: dict[bytes, bytes] = {}  # one object for each distinct word
+    return fit([[shared.setdefault(x, x) for x in w.split()] for _, w, _ in sample], [y for _, _, y in sample])
 
 
 SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))
