@@ -134,3 +134,27 @@ def test_filter_keeps_rows_without_id_and_one_of_repeated_rows(spark):
     out = H.drop_near_duplicates(documents(spark, rows))
     assert out.columns == documents(spark, rows).columns
     assert sorted((r["doc_id"] for r in out.collect()), key=str) == [5, 6, None]
+
+
+def kept_by_brute_force(rows):
+    """Ids of the rows that stay if all pairs are compared; texts differ."""
+    sets = {i: set(H.shingles(t.encode(), 5)) for i, t in rows}
+    ids = sorted(sets)
+    similar = [(a, b) for n, a in enumerate(ids) for b in ids[:n] if (c := len(sets[a] & sets[b])) >= 0.8 * (len(sets[a]) + len(sets[b]) - c)]
+    return {i for i, r in classes(ids, similar).items() if i == r}, similar
+
+
+def test_similar_documents_among_many_that_share_half_their_text(spark):
+    rng = random.Random(21)
+    template, rows = [f"t{i}" for i in range(210)], []
+    for i in range(500):
+        own = [f"d{i}x{n}" for n in range(90)]
+        rows.append((i, " ".join(template + own)))
+        if i % 5 == 0:
+            for n in rng.sample(range(0, 90, 6), 6):
+                own[n] = f"e{i}x{n}"
+            rows.append((1000 + i, " ".join(template + own)))
+    rng.shuffle(rows)
+    want, similar = kept_by_brute_force(rows)
+    assert len(similar) >= 100 and len(want) == 500
+    assert {r["doc_id"] for r in H.drop_near_duplicates(documents(spark, rows)).collect()} == want

@@ -11,6 +11,7 @@ instead of two thousand. Only distinct fingerprints take part.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from itertools import accumulate, combinations
 
@@ -150,11 +151,6 @@ def forest(a: np.ndarray, b: np.ndarray, apart: np.ndarray) -> np.ndarray:
     return np.array(kept, dtype=np.int64)
 
 
-def prefix_for(n: int, least: int = 5, load: int = 1_000_000) -> int:
-    """Bucket bits that leave ``load`` rows in an average bucket at most."""
-    return next(p for p in range(least, 25) if p == 24 or n * len(masks(p, 2)) <= load << p)
-
-
 def ball_links(nodes: DataFrame, blocks: list[Block], radius: int, n_words: int, within: int, prefix_bits: int, limit: int = 1_000_000) -> DataFrame:
     """Links (a, b) between nodes that collide in a block and differ in ``within`` bits at most overall.
 
@@ -219,52 +215,175 @@ def near_duplicates(docs: DataFrame, k: int = 4, id_col: str = "doc_id", text_co
     return found.join(labels, "f0").select("doc_id", F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: Fingerprint of the similarity stage: words of 64 bits, block width, and bits that candidates may differ in.
-SEEDS, BLOCK_BITS, WITHIN = (42, 43, 44), 32, 42
+#: Prefix rows of an average bucket, links verified at a time, documents sampled for common shingles, most of these, and pairs looked at at once.
+LOAD, PART, SAMPLE, COMMON, PAIRS = 100_000, 200_000, 10_000, 200_000, 1 << 20
+
+
+def hashes(text: bytes | None, k: int) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the shingles."""
+    return np.unique(np.frombuffer(b"".join([xxhash.xxh64_digest(x) for x in set(shingles(text, k))]), dtype=">i8").astype(np.int64))
+
+
+def common_shingles(docs: DataFrame, k: int, id_col: str, text_col: str) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of shingles that recur in a sample of documents, and how often.
+
+    They only order shingles, so whatever the sample holds, no pair is lost.
+    """
+    rows = as_bytes(docs, id_col, text_col)
+    rows = rows.where(F.pmod(F.xxhash64("_id"), F.lit(max(1, rows.count() // SAMPLE))) == 0)
+
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([hashes(t.as_py(), k) for t in batch.column(1)]))], names=["key"])
+
+    often = map_rows(rows, lambda: step, "key long").groupBy("key").count().where("count > 3").orderBy(F.desc("count"), "key").limit(COMMON).toArrow()
+    key, count = often.column("key").to_numpy(), often.column("count").to_numpy()
+    order = np.argsort(key)
+    return key[order], count[order]
+
+
+def prefix(found: np.ndarray, similarity: float, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first of a set's hashes, rare ones before common ones: sets of at least ``similarity`` have one of them in common."""
+    take = len(found) - math.ceil(similarity * len(found) - 1e-9) + 1
+    if not len(common):
+        return found[:take]
+    at = np.minimum(np.searchsorted(common, found), len(common) - 1)
+    return found[np.lexsort((found, np.where(common[at] == found, counts[at], 0)))[:take]]
+
+
+def shingle_prefixes(docs: DataFrame, k: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, f0, f1, size, keys): digest and size of the shingle set, and its prefix."""
+    common, counts = common_shingles(docs, k, id_col, text_col)
+
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [hashes(t.as_py(), k) for t in batch.column(1)]
+        digests = np.frombuffer(b"".join([xxhash.xxh3_128_digest(x.tobytes()) for x in sets]), dtype=">i8").astype(np.int64).reshape(-1, 2)
+        keys = pa.array([prefix(x, similarity, common, counts) for x in sets], pa.list_(pa.int64()))
+        columns = [batch.column(0), pa.array(digests[:, 0].copy()), pa.array(digests[:, 1].copy()), pa.array([len(x) for x in sets], pa.int32()), keys]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "f0", "f1", "size", "keys"])
+
+    return map_rows(as_bytes(docs, id_col, text_col), lambda: step, "doc_id long, f0 long, f1 long, size int, keys array<long>")
 
 
 def shingle_sets(docs: DataFrame, ids: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """(node, hashes): sorted distinct 32-bit shingle hashes of the documents in ``ids`` (column node)."""
+    """(node, hashes), written: shingle sets of the documents in ``ids`` (column node)."""
     rows = as_bytes(docs, id_col, text_col).join(hinted(ids), F.col("_id") == F.col("node"), "left_semi")
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [np.unique(np.array([xxhash.xxh32_intdigest(x) for x in set(shingles(t.as_py(), k))], dtype=np.uint32)).view(np.int32) for t in batch.column(1)]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int32()))], names=["node", "hashes"])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([hashes(t.as_py(), k) for t in batch.column(1)], pa.list_(pa.int64()))], names=["node", "hashes"])
 
-    return map_rows(rows, lambda: step, "node long, hashes array<int>").dropDuplicates(["node"])
+    sets = materialize(map_rows(rows, lambda: step, "node long, hashes array<long>"), "shingles")
+    return sets if sets.count() <= ids.count() else sets.dropDuplicates(["node"])
 
 
-def similar_links(docs: DataFrame, found: DataFrame, k: int, similarity: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """Distinct fingerprints (node, f0, ...; node the smallest id) and their links of at least ``similarity``.
+def shared_keys(nodes: DataFrame, buckets: int) -> DataFrame:
+    """(key, node, size) of prefix keys that several nodes have."""
+    names = ["key", "node", "size"]
+    rows = nodes.select("node", "size", F.explode("keys").alias("key")).withColumn("bucket", F.pmod("key", F.lit(buckets)))
+
+    def repeated(group: pa.Table) -> pa.Table:
+        _, number, count = np.unique(group.column("key").to_numpy(), return_inverse=True, return_counts=True)
+        return group.select(names).filter(pa.array(count[number] > 1))
 
-    Candidates share a variant of a block, differ in at most ``WITHIN`` bits of
-    the whole fingerprint and are the nearest that connect a bucket; the
-    Jaccard similarity of their shingle sets decides.
+    return rows.groupBy("bucket").applyInArrow(repeated, "key long, node long, size int")
+
+
+def able(counted: DataFrame, similarity: float) -> DataFrame:
+    """The links (a, b) of ``counted`` (a, b, sa, sb, n: sizes and prefix keys in common) that can be similar.
+
+    What sets have in common beside the keys of both prefixes comes after one
+    of the prefixes, so it's no more than the longer of the two rests.
+    """
+    rest = f"ceil({similarity!r} * greatest(sa, sb) - 1e-9) - 1"
+    links = counted.groupBy("a", "b").agg(F.max("sa").alias("sa"), F.max("sb").alias("sb"), F.sum("n").alias("n"))
+    return links.where(f"n + {rest} >= {similarity / (1 + similarity)!r} * (sa + sb) - 1e-9").select("a", "b")
+
+
+def first_links(shared: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) from the smallest node of each key to others that are likely to be similar to it."""
+    centre = shared.groupBy("key").agg(F.min(F.struct("node", "size")).alias("c"))
+    pairs = shared.join(centre, "key").where(f"c.node < node AND least(c.size, size) >= {similarity!r} * greatest(c.size, size) - 1e-9")
+    return able(pairs.select(F.col("c.node").alias("a"), F.col("node").alias("b"), F.col("c.size").alias("sa"), F.col("size").alias("sb"), F.lit(1).alias("n")), similarity)
+
+
+def open_pairs(key: np.ndarray, node: np.ndarray, size: np.ndarray, root: np.ndarray, similarity: float, step: int = PAIRS) -> tuple[np.ndarray, ...]:
+    """a, b, their sizes and how many keys they have in common, for all pairs of different roots with a key in common and sizes that allow ``similarity``.
+
+    ``step`` pairs are looked at at a time.
     """
-    names = [f"f{i}" for i in range(len(SEEDS))]
-    nodes = materialize(found.where("doc_id is not null").groupBy(*names).agg(F.min("doc_id").alias("node")), "fingerprints")
-    blocks = [Block(w, low, BLOCK_BITS) for w in range(len(SEEDS)) for low in range(0, 64, BLOCK_BITS)]
-    links = materialize(ball_links(nodes, blocks, 4, len(SEEDS), WITHIN, prefix_for(nodes.count())).distinct(), "candidates")
-    sets = materialize(shingle_sets(docs, links.select(F.explode(F.array("a", "b")).alias("node")).distinct(), k, id_col, text_col), "shingles")
-    first = links.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a")
-    both = first.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
+    order = np.lexsort((root, key))
+    key, node, size, root = (x[order] for x in (key, node, size, root))
+    names, at_first, number = np.unique(node, return_index=True, return_inverse=True)
+    of_key = np.r_[True, key[1:] != key[:-1]]
+    of_root = of_key | np.r_[True, root[1:] != root[:-1]]
+    after, last = (np.r_[np.flatnonzero(new)[1:], len(key)][np.cumsum(new) - 1] for new in (of_root, of_key))
+    ends = np.cumsum(last - after)
+    pairs, counts = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+    for at in range(0, int(ends[-1]), step):
+        flat = np.arange(at, min(at + step, int(ends[-1])))
+        i = np.searchsorted(ends, flat, side="right")
+        j = last[i] - (ends[i] - flat)
+        ok = np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-9
+        i, j = number[i[ok]], number[j[ok]]
+        new, n = np.unique(np.minimum(i, j) * len(names) + np.maximum(i, j), return_counts=True)
+        pairs, where = np.unique(np.r_[pairs, new], return_inverse=True)
+        counts = np.bincount(where, np.r_[counts, n], len(pairs)).astype(np.int64)
+    a, b = pairs // len(names), pairs % len(names)
+    return names[a], names[b], size[at_first[a]], size[at_first[b]], counts
+
+
+def other_links(shared: DataFrame, roots: DataFrame, similarity: float, buckets: int) -> DataFrame:
+    """Links (a, b), a < b, of nodes that can be similar and that ``roots`` (node, root) doesn't connect."""
+    rows = shared.join(roots, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"), F.pmod("key", F.lit(buckets)).alias("bucket"))
+
+    def pairs(group: pa.Table) -> pa.Table:
+        found = open_pairs(*(group.column(c).to_numpy() for c in ("key", "node", "size", "root")), similarity)
+        tidy()
+        return pa.table({n: pa.array(x, pa.int64()) for n, x in zip(("a", "b", "sa", "sb", "n"), found)})
+
+    return able(rows.groupBy("bucket").applyInArrow(pairs, "a long, b long, sa long, sb long, n long"), similarity)
+
+
+def verified(links: DataFrame, docs: DataFrame, k: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
+    """The links of at least ``similarity``; ``PART`` or so are compared at a time, so that memory doesn't grow with them."""
+    sets = shingle_sets(docs, links.select(F.explode(F.array("a", "b")).alias("node")).distinct(), k, id_col, text_col)
+    parts, out = links.count() // PART + 1, None
     common = F.size(F.array_intersect("x", "y"))
-    close = common >= similarity * (F.size("x") + F.size("y") - common)
-    return nodes, both.where(close).select("a", "b")
+    for i in range(parts):
+        some = links.where(F.pmod(F.xxhash64("a", "b"), F.lit(parts)) == i)
+        first = some.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a")
+        both = first.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
+        close = materialize(both.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b"), "similar")
+        out = close if out is None else out.union(close)
+    return out
+
+
+def similar_links(docs: DataFrame, found: DataFrame, k: int, similarity: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Distinct shingle sets (f0, f1, node; node the smallest id) and links of at least ``similarity`` that connect all that are similar.
+
+    Similar sets have a key of their prefixes in common. The smallest node of
+    each key is compared with the others first; then all pairs with a key in
+    common that the similar ones among those links leave apart.
+    """
+    nodes = materialize(found.where("doc_id is not null").groupBy("f0", "f1").agg(F.min("doc_id").alias("node"), F.first("size").alias("size"), F.first("keys").alias("keys")), "sets")
+    buckets = max(64, (nodes.agg(F.sum(F.size("keys"))).first()[0] or 0) // LOAD)
+    shared = materialize(shared_keys(nodes, buckets), "shared")
+    tried = materialize(first_links(shared, similarity), "candidates")
+    links = verified(tried, docs, k, similarity, id_col, text_col)
+    others = materialize(other_links(shared, components(links), similarity, buckets).join(tried, ["a", "b"], "left_anti"), "candidates")
+    return nodes.select("f0", "f1", "node"), links.union(verified(others, docs, k, similarity, id_col, text_col))
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document, that of the smallest id, of each class of near duplicates; all columns stay.
 
-    Fingerprints are taken over distinct shingles, so equal fingerprints mean
-    equal shingle sets. Rows without an id are kept and not compared; of rows
-    that repeat an id and its text, one stays.
+    Similarity is that of shingle sets, and every similar pair counts. Rows
+    without an id are kept and not compared; of rows that repeat an id and its
+    text, one stays.
     """
-    names = [f"f{i}" for i in range(len(SEEDS))]
-    found = materialize(fingerprints(docs, k, SEEDS, True, id_col, text_col), "simhash")
+    found = materialize(shingle_prefixes(docs, k, similarity, id_col, text_col), "prefixes")
     nodes, links = similar_links(docs, found, k, similarity, id_col, text_col)
     rooted = nodes.join(components(materialize(links, "links")), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    labelled = found.join(rooted.select(*names, "root"), names)
+    labelled = found.select("doc_id", "f0", "f1").join(rooted.select("f0", "f1", "root"), ["f0", "f1"])
     dropped = materialize(labelled.where("doc_id <> root").select(F.col("doc_id").alias("node")).distinct(), "dropped")
     here = F.col(id_col).cast("long")
     kept = docs.join(hinted(dropped), here == F.col("node"), "left_anti")
