@@ -158,3 +158,33 @@ def test_similar_documents_among_many_that_share_half_their_text(spark):
     want, similar = kept_by_brute_force(rows)
     assert len(similar) >= 100 and len(want) == 500
     assert {r["doc_id"] for r in H.drop_near_duplicates(documents(spark, rows)).collect()} == want
+
+
+def test_a_similar_pair_with_a_third_between_that_is_similar_to_neither(spark):
+    rng, rows = random.Random(22), []
+    for g in range(200):
+        a = [f"g{g}w{n}" for n in range(204)]
+        spots = rng.sample(range(4, 200, 5), 7)
+        b, c = list(a), list(a)
+        for n in spots[:4]:
+            c[n] = f"g{g}c{n}"
+        for n in spots[:2]:
+            b[n] = c[n]
+        for n in spots[4:]:
+            b[n] = f"g{g}b{n}"
+        rows += [(g * 10, " ".join(a)), (g * 10 + 1, " ".join(b)), (g * 10 + 2, " ".join(c))]
+    want, similar = kept_by_brute_force(rows)
+    assert sorted(similar) == [(g * 10 + 2, g * 10) for g in range(200)]
+    assert {r["doc_id"] for r in H.drop_near_duplicates(documents(spark, rows)).collect()} == want
+
+
+def test_links_are_verified_in_parts_and_pairs_apart_are_compared_in_full(spark, monkeypatch):
+    monkeypatch.setattr(H, "PART", 7)
+    rng = random.Random(24)
+    key, node, root = np.array([rng.randrange(9) for _ in range(200)]), np.arange(200), np.array([rng.randrange(6) for _ in range(200)])
+    a, b, *_, n = H.open_pairs(key, node, np.full(200, 10), root, 0.8, step=50)
+    assert set(n.tolist()) == {1}
+    assert set(zip(a.tolist(), b.tolist())) == {(a, b) for b in range(200) for a in range(b) if key[a] == key[b] and root[a] != root[b]}
+    text = [f"w{i}" for i in range(300)]
+    rows = [(i, " ".join(text[:i] + ["new"] + text[i + 1 :])) for i in range(0, 200, 5)]
+    assert [r["doc_id"] for r in H.drop_near_duplicates(documents(spark, rows)).collect()] == [0]
