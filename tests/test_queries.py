@@ -45,3 +45,11 @@ def test_entry_and_names(spark):
     assert entry_module.entry(spark).count() > 0
     assert set(entry_module.oracle_sql()) <= set(entry_module.queries())
     assert set(QUERIES) <= set(entry_module.queries())
+
+
+@pytest.mark.parametrize("name", ["nearest_approach_distance", "nearest_approach_instant", "temporal_distance"])
+def test_distances_of_all_have_pairs_of_every_two_types(spark, name):
+    kind = {0: "truck", 1: "bus"}
+    pairs = QUERIES[f"{name}_of_all"](spark, SF).select("a_mo_id", "b_mo_id").collect()
+    found = {frozenset(kind.get(m // 10 % 10, "passenger") for m in p) for p in pairs}
+    assert found == {frozenset(x) for x in (["truck"], ["bus"], ["passenger"], ["truck", "bus"], ["truck", "passenger"], ["bus", "passenger"])}

@@ -204,6 +204,29 @@ def temporal_distance(w: World) -> DataFrame:
     return D.approaches(t, t, "a.mo_id < b.mo_id").groupBy("a_mo_id", "b_mo_id").agg(F.count("*").alias("parts"), F.expr(q("min(dist)", "least")), F.expr(q("max(sqrt(ax * ax + ay * ay))", "most_at_start")))
 
 
+# the same for all movers, whatever their type
+
+_ALL = _pairs("segs", "segs", "a.mo_id < b.mo_id")
+
+
+@query(f"SELECT a_mo_id, b_mo_id, {q('min(dist)', 'nad')} FROM ({_ALL}) GROUP BY a_mo_id, b_mo_id")
+def nearest_approach_distance_of_all(w: World) -> DataFrame:
+    return D.nearest_approach(w.segments, w.segments).selectExpr("a_mo_id", "b_mo_id", q("nad", "nad"))
+
+
+@query(
+    f"SELECT a_mo_id, b_mo_id, us FROM (SELECT *, row_number() OVER (PARTITION BY a_mo_id, b_mo_id ORDER BY dist, s + CAST(floor((e - s) * lam + 0.5) AS BIGINT)) AS rn, s + CAST(floor((e - s) * lam + 0.5) AS BIGINT) AS us FROM ({_ALL})) WHERE rn = 1"
+)
+def nearest_approach_instant_of_all(w: World) -> DataFrame:
+    return D.nearest_approach(w.segments, w.segments).select("a_mo_id", "b_mo_id", "us")
+
+
+@query(f"SELECT a_mo_id, b_mo_id, count(*) AS parts, {q('min(dist)', 'least')}, {q('max(sqrt(ax * ax + ay * ay))', 'most_at_start')} FROM ({_ALL}) GROUP BY a_mo_id, b_mo_id")
+def temporal_distance_of_all(w: World) -> DataFrame:
+    found = D.approaches(w.segments, w.segments, "a.mo_id < b.mo_id")
+    return found.groupBy("a_mo_id", "b_mo_id").agg(F.count("*").alias("parts"), F.expr(q("min(dist)", "least")), F.expr(q("max(sqrt(ax * ax + ay * ay))", "most_at_start")))
+
+
 @query(f"SELECT vehid, pointid, {q('min(' + K.point_distance('px', 'py') + ')', 'dist')} FROM segs, places GROUP BY vehid, pointid")
 def min_distance_to_point(w: World) -> DataFrame:
     return D.distance_to_points(w.segments, w.places).selectExpr("vehid", "pointid", q("dist", "dist"))
