@@ -188,3 +188,15 @@ def test_links_are_verified_in_parts_and_pairs_apart_are_compared_in_full(spark,
     text = [f"w{i}" for i in range(300)]
     rows = [(i, " ".join(text[:i] + ["new"] + text[i + 1 :])) for i in range(0, 200, 5)]
     assert [r["doc_id"] for r in H.drop_near_duplicates(documents(spark, rows)).collect()] == [0]
+
+
+def test_every_pair_at_just_the_similarity_is_found(spark):
+    rng, rows = random.Random(23), []
+    for g in range(400):
+        a = [f"g{g}w{n}" for n in range(184)]
+        b = list(a)
+        for n in rng.sample(range(4, 180, 5), 4):
+            b[n] = f"g{g}b{n}"
+        rows += [(g * 10, " ".join(a)), (g * 10 + 1, " ".join(b))]
+    assert all(jaccard(rows[n][1], rows[n + 1][1]) == 0.8 for n in range(0, 800, 2))
+    assert {r["doc_id"] for r in H.drop_near_duplicates(documents(spark, rows)).collect()} == {g * 10 for g in range(400)}
