@@ -5,7 +5,9 @@ import re
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tracewise.llm import decontaminate as D
 from tracewise.llm import licenses as L
@@ -134,18 +136,37 @@ def test_quality_counts_equal_brute_force(spark):
 
 
 def test_quality_model_agrees_with_labels(spark):
-    labels = dict(sample("labels", "doc_id, quality"))
-    rows = [r for r in Q.assess(spark.read.parquet(f"{SF}/documents.parquet")).collect() if r["doc_id"] in labels and not r["base_failed"]]
-    good = [r["kept"] for r in rows if labels[r["doc_id"]] == 1]
-    assert sum(good) >= 0.98 * len(good)
+    """Precision and recall on the labels, which the model never sees."""
+    labels = dict(duckdb.sql("SELECT doc_id, quality FROM read_parquet('/root/testdata/sf0.01/labels.parquet')").fetchall())
+    rows = [r for r in Q.assess(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect() if r["doc_id"] in labels]
+    good = [r["kept"] for r in rows if labels[r["doc_id"]] == 1 and not r["base_failed"]]
+    bad = [r["kept"] for r in rows if labels[r["doc_id"]] == 0]
+    assert sum(good) >= 0.98 * len(good) and sum(bad) <= 0.05 * len(bad)
+
+
+def test_a_lone_bad_vote_is_outvoted(spark):
+    """The verdict is not "no bad vote": on real documents many with one bad vote are kept, and those with corroborated votes go."""
+    rows = Q.assess(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    bad = sum((F.coalesce(v, F.lit(0)) for v in Q.votes(F.col)), F.lit(0))
+    seen = {(r["n"], r["kept"]): r["count"] for r in rows.where("not base_failed").groupBy(bad.alias("n"), "kept").count().collect()}
+    assert seen[(1, True)] > 5 and seen[(3, False)] > 5 and (0, False) not in seen
+
+
+def drawn(rng, prior, alarm, recall, n=20_000):
+    votes = Counter()
+    for _ in range(n):
+        bad = rng.random() < prior
+        votes[tuple(int(rng.random() < (r if bad else a)) for a, r in zip(alarm, recall))] += 1
+    return sorted(votes.items())
 
 
 def test_quality_model_fit():
-    """A kind of junk that only one rule knows is found; without votes of bad everything is kept."""
-    patterns = [((0, 0, 0), 900), ((1, 0, 0), 30), ((0, 1, 1), 40), ((0, None, 0), 20)]
-    m = Q.fit(patterns, 3)
-    assert m.log_odds((0, 0, 0)) < 0 and m.log_odds((0, None, None)) < 0
-    assert m.log_odds((1, 0, 0)) > 0 and m.log_odds((0, 1, 1)) > 0
+    """Accuracies are estimated, not set: of rules drawn with known ones, a noisy one is found noisy."""
+    alarm, recall = (0.01, 0.02, 0.15, 0.01), (0.8, 0.7, 0.2, 0.6)
+    m = Q.fit(drawn(random.Random(3), 0.1, alarm, recall), 4)
+    assert abs(m.prior - 0.1) < 0.02
+    assert m.false_alarm == pytest.approx(alarm, abs=0.02) and m.recall == pytest.approx(recall, abs=0.08)
+    assert m.log_odds((0, 0, 1, 0)) < 0 < m.log_odds((1, 1, 0, 0)) and m.log_odds((1, 0, 0, 1)) > 0
     clean = Q.fit([((0, 0), 50), ((None, 0), 9)], 2)
     assert all(clean.log_odds(p) < 0 for p in itertools.product((0, None), repeat=2))
     assert Q.fit([], 3).prior > 0
@@ -159,6 +180,9 @@ def test_quality_is_native_and_filters(spark):
     assert kept.columns == docs.columns
     want = {r["doc_id"] for r in Q.assess(docs).where("kept").collect()}
     assert {r["doc_id"] for r in kept.collect()} == want
+    clash = docs.withColumnsRenamed({"score": "_quality", "_id": "_Quality_"})
+    assert Q.filter_documents(clash).columns == clash.columns
+    assert sorted(map(tuple, Q.filter_documents(clash).collect())) == sorted(map(tuple, kept.collect()))
     assert Q.filter_documents(documents(spark, [])).count() == 0
 
 
@@ -193,33 +217,79 @@ def test_templates_are_recognised_in_context(label, text):
 # --- toxicity -------------------------------------------------------------------------
 
 
-def test_marginals_equal_enumeration():
-    import numpy as np
+def small_crf(trans=((0.4, -1.0), (-0.3, 0.8))):
+    return T.Crf({b"bad": 0, b"awful": 1}, np.array(trans), -0.7, np.array([1.5, 0.6]))
 
-    rng = random.Random(2)
-    lexicon = {b"bad": 0, b"awful": 1}
-    crf = T.Crf(lexicon, np.array([[0.4, -1.0], [-0.3, 0.8]]), -0.7, np.array([1.5, 0.6]))
+
+def test_marginals_equal_enumeration():
+    rng, crf = random.Random(2), small_crf()
     for n in (1, 2, 5, 9):
         words = [rng.choice([b"bad", b"awful", b"x", b"y"]) for _ in range(n)]
         total, mass = 0.0, [0.0] * n
         for path in itertools.product((0, 1), repeat=n):
-            s = sum(y * (-0.7 + (crf.weight[lexicon[w]] if w in lexicon else 0)) for w, y in zip(words, path))
+            s = sum(y * (-0.7 + (crf.weight[crf.lexicon[w]] if w in crf.lexicon else 0)) for w, y in zip(words, path))
             s += sum(crf.trans[a, b] for a, b in zip(path, path[1:]))
             total += np.exp(s)
             for t, y in enumerate(path):
                 mass[t] += y * np.exp(s)
-        at, emit = crf.events(words)
-        assert crf.marginals(at, emit, n) == pytest.approx([mass[t] / total for t in at])
+        assert crf.marginals([words])[0] == pytest.approx([mass[t] / total for t in range(n)])
+
+
+@pytest.mark.parametrize("trans", [((0.4, -1.0), (-0.3, 0.8)), ((3.0, -3.0), (-3.0, 3.0)), ((6.0, -6.0), (-7.0, 6.5))])
+def test_marginals_equal_plain_forward_backward(trans):
+    """Long gaps, slow chains, empty texts and texts that fill their last block, all at once."""
+    crf, rng = small_crf(trans), random.Random(5)
+    texts = [[b"bad"] + [b"x"] * gap + [b"bad"] + [b"y"] * tail for gap in (0, 63, 100, 1000, 5000) for tail in (0, 62)]
+    texts += [[], [b"x"], [rng.choice([b"bad", b"x", b"awful"]) for _ in range(128)], []]
+
+    def plain(words):
+        step, n = np.exp(crf.trans), len(words)
+        e = [np.array([1.0, np.exp(crf.bias + (crf.weight[crf.lexicon[w]] if w in crf.lexicon else 0))]) for w in words]
+        a, b = [None] * n, [np.ones(2)] * n
+        for t in range(n):
+            x = e[t] * (a[t - 1] @ step if t else 1.0)
+            a[t] = x / x.sum()
+        for t in range(n - 2, -1, -1):
+            x = step @ (e[t + 1] * b[t + 1])
+            b[t] = x / x.sum()
+        return [float((x * y)[1] / (x * y).sum()) for x, y in zip(a, b)]
+
+    for words, got in zip(texts, crf.marginals(texts)):
+        assert got == pytest.approx(plain(words), rel=1e-7)
+
+
+def test_learn_leaves_the_held_out_rows_out(spark):
+    """The split is crc32 of the id as text; labels of held-out rows change nothing, those of others do."""
+    import zlib
+
+    rows = sample_labelled()[:300]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    out = {i for i, _, _ in rows if zlib.crc32(str(i).encode()) % 4 == 2}
+    got = {r[0] for r in docs.where(T.held_out(F.col("doc_id"))).select("doc_id").collect()}
+    assert got == out and 0 < len(out) < len(rows)
+
+    def fitted(change):
+        labels = spark.createDataFrame([(i, 1 - y if i in change else y) for i, _, y in rows], "doc_id long, toxic int")
+        crf = T.learn(docs, labels)
+        return crf.lexicon, crf.weight.tolist(), crf.curve
+
+    plain = fitted(set())
+    assert fitted(out) == plain
+    assert fitted({next(i for i, _, _ in rows if i not in out)}) != plain
 
 
 def test_held_out_accuracy(spark):
+    """Toxic documents are found among the held-out ones, clean ones left alone, and the ranking is good."""
+    import zlib
+
     rows = sample_labelled()
-    train = [r for r in rows if r[0] % 4 != 2]
-    held = [r for r in rows if r[0] % 4 == 2]
+    held = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 == 2]
+    train = [r for r in rows if r not in held]
     crf = T.fit([alnum_words(t.encode()) for _, t, _ in train], [y for _, _, y in train])
-    scores = [(crf.tag(t.encode())[0], y) for _, t, y in held]
-    right = sum((s >= T.THRESHOLD) == bool(y) for s, y in scores)
-    assert right >= 0.93 * len(scores)
+    scores = [(s, y) for (s, _), (_, _, y) in zip(crf.tag([t.encode() for _, t, _ in held]), held)]
+    toxic, clean = [s for s, y in scores if y], [s for s, y in scores if not y]
+    assert sum(s >= T.THRESHOLD for s in toxic) >= 0.85 * len(toxic) and sum(s >= T.THRESHOLD for s in clean) <= 0.02 * len(clean)
+    assert sum((a > b) + (a == b) / 2 for a in toxic for b in clean) >= 0.95 * len(toxic) * len(clean)
     assert all(0 <= s <= 1 for s, _ in scores)
 
 

@@ -1,12 +1,12 @@
 """Toxic span tagging with a linear-chain conditional random field.
 
 Two states (clean, toxic) run over the words of a text. The features of a word
-are the word itself and its first letters; those in the lexicon have a weight
-and words without any share one, so between two weighted words the chain is a
-power of one matrix and a text is decoded in time proportional to its weighted
-words, with the same marginals as word by word. Forward-backward
-marginals give the offending words; their noisy-or, calibrated on the training
-documents, is the document's score.
+are the word itself and its first letters; those in the lexicon, which favour
+toxic or clean documents, have a weight. Forward and backward run over blocks
+of words of many texts at once: the product of a block's transitions joins it
+to the next, so the marginals are those of the whole chain, whatever its length.
+The noisy-or of all words' marginals, calibrated on the training documents
+together with the number of words, is the document's score.
 
 Training words are labelled from document labels: the words that clearly favour
 toxic documents are the toxic words of those. Only a bounded sample of labelled
@@ -26,15 +26,15 @@ from pyspark.sql import functions as F
 
 from .common import BoundedCache, alnum_words, as_bytes, map_rows, table
 
-#: Bounds of the training sample: labelled documents, words of one of them (longer ones are not fitted on), windows.
+#: Bounds of the training sample: labelled documents, words of one of them (longer ones are not fitted on, but scored whole), windows.
 TRAIN_DOCUMENTS, TRAIN_WORDS, TRAIN_WINDOWS = 6_000, 20_000, 12_000
 LEXICON = 4_000
 STEPS = 24
 #: Features that favour toxic documents this much (log ratio) are in the lexicon, or mark toxic words.
-IN_LEXICON, MARKED, SEEN = 1.0, 2.5, 4
+IN_LEXICON, MARKED, SEEN = 1.0, 2.0, 3
 THRESHOLD = 0.3
-FAINT = 0.35
-_POWERS = 64
+#: Words in a block of the chain, and words of all texts worked on at a time.
+BLOCK, TOGETHER = 64, 400_000
 
 
 def parts(word: bytes) -> list[bytes]:
@@ -44,92 +44,157 @@ def parts(word: bytes) -> list[bytes]:
 
 @dataclass
 class Crf:
-    """``trans[a, b]`` from state a to b, ``bias`` of the toxic state, ``weight`` of each lexicon feature for it."""
+    """``trans[a, b]`` from state a to b, ``bias`` of the toxic state, ``weight`` of each lexicon feature for it.
+
+    ``curve`` calibrates a document's evidence: weights of its columns and a constant.
+    """
 
     lexicon: dict[bytes, int]
     trans: np.ndarray
     bias: float
     weight: np.ndarray
-    slope: float = 1.0
-    offset: float = 0.0
+    curve: tuple[float, ...] = (1.0, 0.0, 0.0)
 
     def __reduce__(self):
-        return Crf, (self.lexicon, self.trans, self.bias, self.weight, self.slope, self.offset)
+        return Crf, (self.lexicon, self.trans, self.bias, self.weight, self.curve)
 
     def __post_init__(self):
-        step = np.exp(self.trans + np.array([0.0, self.bias]))
-        power, self.powers = np.eye(2), []
-        for _ in range(_POWERS + 1):
-            self.powers.append(tuple((power / power.max()).ravel().tolist()))
-            power = power @ step
-            power /= power.max()
-        self.step = tuple(step.ravel().tolist())
-        self.first = (1.0, math.exp(self.bias))
         weights = {f: float(self.weight[i]) for f, i in self.lexicon.items()}
 
-        def emission(words: list[bytes]) -> list[float | None]:
-            found = ([weights[f] for f in parts(w) if f in weights] for w in words)
-            return [math.exp(max(-30.0, min(30.0, sum(x)))) if x else None for x in found]
+        def emission(words: list[bytes]) -> list[float]:
+            found = (sum(weights.get(f, 0.0) for f in parts(w)) for w in words)
+            return [math.exp(max(-30.0, min(30.0, x))) if x else 1.0 for x in found]
 
         self.cache = BoundedCache(emission)
 
-    def events(self, words: list[bytes]) -> tuple[list[int], list[float]]:
-        """Numbers of the words that have a weight, and their potentials of the toxic state."""
-        e = list(map(self.cache.prepare(set(words)).__getitem__, words))
-        at = [i for i, x in enumerate(e) if x is not None]
-        return at, [e[i] for i in at]
-
-    def marginals(self, at: list[int], emit: list[float], n: int) -> list[float]:
-        """Probability of the toxic state at each weighted word of a text of ``n`` words."""
-        k, powers = len(at), self.powers
-        forward, a, b, last = [], *self.first, 0
-        for pos, e in zip(at, emit):
-            p, q, r, s = powers[min(pos - last, _POWERS)]
-            a, b = a * p + b * r, (a * q + b * s) * e
-            t = a + b
-            a, b, last = a / t, b / t, pos
-            forward.append((a, b))
-        out, a, b, last = [0.0] * k, 1.0, 1.0, n - 1
-        for j in range(k - 1, -1, -1):
-            p, q, r, s = powers[min(last - at[j], _POWERS)]
-            a, b = p * a + q * b, r * a + s * b
-            x, y = forward[j]
-            out[j] = y * b / (x * a + y * b)
-            b *= emit[j]
-            t = a + b
-            a, b, last = a / t, b / t, at[j]
+    def potentials(self, texts: list[list[bytes]]) -> np.ndarray:
+        """Potentials of the toxic state at each word of the texts, one text after another."""
+        return np.array([x for words in texts for x in map(self.cache.prepare(set(words)).__getitem__, words)], dtype=float)
+
+    def marginals(self, texts: list[list[bytes]]) -> list[np.ndarray]:
+        """Probability of the toxic state at each word of each text."""
+        sizes = np.array([len(w) for w in texts], dtype=np.int64)
+        found = chain(np.exp(self.trans + np.array([0.0, self.bias])), math.exp(self.bias), self.potentials(texts), sizes)
+        return np.split(found, np.cumsum(sizes)[:-1]) if len(texts) else []
+
+    def tag(self, texts: list[bytes | None]) -> list[tuple[float, list[tuple[int, float]]]]:
+        """For each text, score from 0 to 1 and (word number, probability) of the words likelier toxic than not."""
+        out, held, total = [], [], 0
+
+        def flush() -> None:
+            nonlocal held, total
+            each = self.marginals(held)
+            scores = self.calibrate(np.array([evidence(p) for p in each]).reshape(-1, 2)).tolist()
+            for s, p in zip(scores, each):
+                at = np.flatnonzero(p >= 0.5)
+                out.append((s, list(zip(at.tolist(), p[at].tolist()))))
+            held, total = [], 0
+
+        for text in texts:
+            held.append(alnum_words(text))
+            total += len(held[-1])
+            if total >= TOGETHER:
+                flush()
+        if held:
+            flush()
         return out
 
-    def tag(self, text: bytes | None) -> tuple[float, list[tuple[int, float]]]:
-        """Score from 0 to 1 and (word number, probability) of the words likelier toxic than not."""
-        words = alnum_words(text)
-        at, emit = self.events(words)
-        p = self.marginals(at, emit, len(words))
-        return self.calibrate(p), [(i, x) for i, x in zip(at, p) if x >= 0.5]
+    def calibrate(self, x: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(x @ np.array(self.curve[:-1]) + self.curve[-1], -30, 30)))
 
-    def calibrate(self, p: list[float]) -> float:
-        return 1 / (1 + math.exp(-(self.slope * evidence(p) + self.offset)))
 
+def chain(step: np.ndarray, first: float, emit: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Marginals of the toxic state at each word of several texts.
 
-def evidence(p: list[float]) -> float:
-    """Noisy-or of word marginals as bounded log odds; faint ones don't add up over long texts."""
-    clean = sum(math.log1p(-min(x, 0.999999)) for x in p if x >= FAINT)
-    return min(12.0, max(-6.0, math.log(max(-math.expm1(clean), 1e-9)) - clean))
+    ``step`` holds the transition potentials, ``emit`` each word's potential of
+    the toxic state, ``sizes`` the words of each text; ``first`` is what the
+    toxic state has at the first word besides. Rows of :data:`BLOCK` words are
+    multiplied up side by side, then joined in turn within each text, then
+    filled in side by side, so no text is too long and none is cut.
+    """
+    if not len(emit):
+        return np.empty(0)
+    rows = -(-sizes // BLOCK)
+    n = int(rows.sum())
+    place = np.arange(len(emit)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    row, column = np.repeat(np.cumsum(rows) - rows, sizes) + place // BLOCK, place % BLOCK
+    e, live = np.ones((BLOCK, n)), np.zeros((BLOCK, n), dtype=bool)
+    e[column, row], live[column, row] = emit, True
+    begins = np.zeros(n + 1, dtype=bool)
+    begins[(np.cumsum(rows) - rows)[rows > 0]] = True
+    begins[n] = True
+    opening = np.flatnonzero(begins[:n])
+    (m00, m01), (m10, m11) = step.tolist()
+
+    def move(t: int) -> tuple[np.ndarray, ...]:
+        on = live[t]
+        p, q, r, s = np.where(on, m00, 1.0), np.where(on, m01 * e[t], 0.0), np.where(on, m10, 0.0), np.where(on, m11 * e[t], 1.0)
+        if t == 0:
+            p[opening], q[opening], r[opening], s[opening] = 1.0, first * e[0, opening], 0.0, 0.0
+        return p, q, r, s
+
+    a, b, c, d = np.ones(n), np.zeros(n), np.zeros(n), np.ones(n)
+    for t in range(BLOCK):
+        p, q, r, s = move(t)
+        a, b, c, d = a * p + b * r, a * q + b * s, c * p + d * r, c * q + d * s
+        top = np.maximum(np.maximum(a, b), np.maximum(c, d))
+        a, b, c, d = a / top, b / top, c / top, d / top
+    product, starts = list(zip(a.tolist(), b.tolist(), c.tolist(), d.tolist())), begins.tolist()
+    into, x, y = [], 1.0, 0.0
+    for k in range(n):
+        if starts[k]:
+            x, y = 1.0, 0.0
+        into.append((x, y))
+        p, q, r, s = product[k]
+        x, y = x * p + y * r, x * q + y * s
+        x, y = x / (x + y), y / (x + y)
+    out_of, x, y = [(1.0, 1.0)] * n, 1.0, 1.0
+    for k in range(n - 1, -1, -1):
+        if starts[k + 1]:
+            x = y = 1.0
+        out_of[k] = (x, y)
+        p, q, r, s = product[k]
+        x, y = p * x + q * y, r * x + s * y
+        x, y = x / (x + y), y / (x + y)
+    x, y = np.array(into).T
+    clean, toxic = np.empty((BLOCK, n)), np.empty((BLOCK, n))
+    for t in range(BLOCK):
+        p, q, r, s = move(t)
+        x, y = x * p + y * r, x * q + y * s
+        total = x + y
+        clean[t], toxic[t] = x, y = x / total, y / total
+    x, y = np.array(out_of).T
+    for t in range(BLOCK - 1, -1, -1):
+        u, v = clean[t] * x, toxic[t] * y
+        toxic[t] = v / (u + v)
+        p, q, r, s = move(t)
+        x, y = p * x + q * y, r * x + s * y
+        total = x + y
+        x, y = x / total, y / total
+    return toxic[column, row]
+
+
+def evidence(p: np.ndarray) -> tuple[float, float]:
+    """Noisy-or of all words' marginals as bounded log odds, and the logarithm of the number of words."""
+    clean = float(np.log1p(-np.minimum(p, 0.999999)).sum())
+    return min(12.0, max(-12.0, math.log(max(-math.expm1(clean), 1e-9)) - clean)), math.log1p(len(p))
 
 
 def favoured(texts: list[list[bytes]], labels: list[int]) -> dict[bytes, float]:
-    """Features by how much they favour toxic documents (log ratio of document shares)."""
+    """Features by how much they favour toxic documents, or clean ones if less than 0 (log ratio of document shares)."""
     toxic, clean = Counter(), Counter()
     for words, y in zip(texts, labels):
         (toxic if y else clean).update({f for w in set(words) for f in parts(w)})
     n1, n0 = sum(labels) or 1, (len(labels) - sum(labels)) or 1
-    return {f: math.log((c + 0.1) / (n1 + 1)) - math.log((clean[f] + 0.5) / (n0 + 1)) for f, c in toxic.items() if c >= SEEN}
+    ratio = {f: math.log((c + 0.1) / (n1 + 1)) - math.log((clean[f] + 0.5) / (n0 + 1)) for f, c in toxic.items() if c >= SEEN}
+    ratio |= {f: math.log((toxic[f] + 0.5) / (n1 + 1)) - math.log((c + 0.1) / (n0 + 1)) for f, c in clean.items() if f not in ratio and c >= SEEN}
+    return ratio
 
 
 def fit(texts: list[list[bytes]], labels: list[int], rounds: int = 60) -> Crf:
     """Trains on labelled documents; without toxic ones nothing is in the lexicon and all scores are low."""
     ratio = favoured(texts, labels)
-    ranked = sorted((f for f in ratio if ratio[f] > IN_LEXICON), key=lambda f: (-ratio[f], f))[:LEXICON]
+    ranked = sorted((f for f in ratio if abs(ratio[f]) > IN_LEXICON), key=lambda f: (-abs(ratio[f]), f))[:LEXICON]
     lexicon = {f: i for i, f in enumerate(ranked)}
     marked = {f for f in ranked if ratio[f] > MARKED}
     numbers: dict[bytes, tuple[int, ...]] = {}  # lexicon features of each distinct word
@@ -147,8 +212,10 @@ def fit(texts: list[list[bytes]], labels: list[int], rounds: int = 60) -> Crf:
         part = texts[k][i : i + STEPS]
         windows.append(([numbers[w] for w in part], [int(bool(labels[k]) and any(f in marked for f in parts(w))) for w in part]))
     crf = train(windows, lexicon, rounds)
-    scored = [crf.marginals(*crf.events(w), len(w)) for w in texts]
-    crf.slope, crf.offset = platt([evidence(p) for p in scored], labels)
+    found = []
+    for i in range(0, len(texts), 64):
+        found += [evidence(p) for p in crf.marginals(texts[i : i + 64])]
+    crf.curve = platt(found, labels)
     return crf
 
 
@@ -205,19 +272,26 @@ def train(windows: list[tuple[list[tuple[int, ...]], list[int]]], lexicon: dict[
     return Crf(lexicon, theta[size + 1 :].reshape(2, 2), float(theta[size]), theta[:size])
 
 
-def platt(x: list[float], labels: list[int], rounds: int = 60) -> tuple[float, float]:
-    """Slope (at least 0.05) and offset of a logistic curve from evidence to label, by Newton's method."""
-    x1, y = np.asarray(x, dtype=float), np.asarray(labels, dtype=float)
-    y = y * 0.98 + 0.01
-    a, b = 1.0, 0.0
+def platt(x: list[tuple[float, ...]], labels: list[int], rounds: int = 60) -> tuple[float, ...]:
+    """Weights (the first at least 0.05) and constant of a logistic curve from evidence to label, by Newton's method."""
+    y = np.asarray(labels, dtype=float) * 0.98 + 0.01
+    x1 = np.column_stack([np.asarray(x, dtype=float).reshape(len(y), 2), np.ones(len(y))])
+    w, shrink = np.array([1.0, 0.0, 0.0]), np.array([0.01, 0.01, 1e-6])
+
+    def loss(v: np.ndarray) -> float:
+        z = x1 @ v
+        return float((np.logaddexp(0, z) - y * z).sum() + (shrink * v * v).sum() / 2)
+
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(a * x1 + b, -30, 30)))
-        w = p * (1 - p) + 1e-9
-        g = np.array([((y - p) * x1).sum() - 0.01 * a, (y - p).sum()])
-        h = np.array([[(w * x1 * x1).sum() + 0.01, (w * x1).sum()], [(w * x1).sum(), w.sum() + 1e-6]])
-        d = np.linalg.solve(h, g)
-        a, b = a + float(np.clip(d[0], -1, 1)), b + float(np.clip(d[1], -1, 1))
-    return max(a, 0.05), b
+        p = 1 / (1 + np.exp(-np.clip(x1 @ w, -30, 30)))
+        g = x1.T @ (y - p) - shrink * w
+        h = (x1 * (p * (1 - p) + 1e-9)[:, None]).T @ x1 + np.diag(shrink)
+        d, now = np.linalg.solve(h, g), loss(w)
+        scale = next((c for c in 0.5 ** np.arange(20) if loss(w + c * d) < now), 0.0)
+        if not scale:
+            break
+        w = w + scale * d
+    return (max(float(w[0]), 0.05), float(w[1]), float(w[2]))
 
 
 def held_out(id_col):
@@ -257,8 +331,7 @@ def score(docs: DataFrame, crf: Crf, id_col: str = "doc_id", text_col: str = "te
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         scores, spans = [], []
-        for text in batch.column(1):
-            s, found = model.value.tag(text.as_py())
+        for s, found in model.value.tag([t.as_py() for t in batch.column(1)]):
             runs: list[dict] = []
             for i, p in found:
                 if runs and runs[-1]["end"] == i:
