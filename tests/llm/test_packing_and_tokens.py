@@ -92,19 +92,49 @@ def best_fit(lengths, capacity):
     return len(room)
 
 
-@pytest.mark.parametrize("seed", range(6))
-def test_plan_is_as_good_as_best_fit_decreasing(seed):
+def drawn_lengths(seed):
     rng = random.Random(seed)
     capacity = rng.choice([7, 20, 64])
     lengths = [rng.randint(1, capacity) for _ in range(rng.choice([0, 1, 30, 500]))] + [capacity // 3] * (200 if seed % 2 else 0)
-    counts = {n: lengths.count(n) for n in set(lengths)}
-    rows, places = P.plan(counts, capacity), {}
-    for length, rank, n, first, offset in rows:
-        for k in range(n):
-            assert places.setdefault((length, rank + k), (first + k, offset)) == (first + k, offset)
-    assert len(places) == len(lengths)
-    out = [{"sequence_id": s, "offset": o, "length": n} for (n, _), (s, o) in places.items()]
-    assert check_packing(out, capacity) == best_fit(lengths, capacity)
+    return capacity, lengths + [1] * (seed % 3) * 40
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_a_sweep_is_best_fit(seed):
+    """Against a plain search for the tightest gap, with gaps given, with and without opening."""
+    rng = random.Random(seed)
+    capacity, lengths = drawn_lengths(seed)
+    given = [rng.randint(1, capacity) for _ in range(rng.choice([0, 5, 60]))]
+    for opening in (False, True):
+        rooms, missed = list(given), 0
+        for n in sorted(lengths, reverse=True):
+            fits = [k for k, g in enumerate(rooms) if g >= n]
+            if fits:
+                rooms[min(fits, key=lambda k: rooms[k])] -= n
+            elif opening:
+                rooms.append(capacity - n)
+            else:
+                missed += 1
+        at, offsets, left = P.successors(sorted(lengths, reverse=True), given, capacity, opening)
+        assert sorted(left) == sorted(rooms) and at.count(-1) == missed
+        used = {k: capacity - g for k, g in enumerate(given)}
+        for n, k, o in zip(sorted(lengths, reverse=True), at, offsets):
+            if k >= 0:
+                assert o == used.get(k, 0)
+                used[k] = o + n
+        assert all(capacity - left[k] == u for k, u in used.items())
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_packing_is_as_good_as_best_fit_decreasing(spark, seed):
+    """As many sequences as one plain best fit in one part, hardly more in many, whatever the bands."""
+    capacity, lengths = drawn_lengths(seed)
+    rows = spark.createDataFrame([(i % 7, 0, 0, n, 5) for i, n in enumerate(lengths)], P.PIECES)
+    want = best_fit(lengths, capacity)
+    for part_rows, bands, more in ((10**6, (1 / 2,), 0), (10**6, P.BANDS, 1 + want // 100), (60, P.BANDS, 2 + want // 20)):
+        got = P.pack(P.numbered(rows), capacity, part_rows, bands).collect()
+        assert sorted(r["length"] for r in got) == sorted(lengths)
+        assert check_packing(got, capacity) <= want + more
 
 
 def test_pieces_and_sequences(spark):

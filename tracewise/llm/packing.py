@@ -1,19 +1,19 @@
 """Best-fit packing of tokenized documents into fixed-length sequences.
 
 Documents are tokenized on the executors, cut at the capacity, and packed by
-bulk-synchronous best-fit. Lengths are whole numbers from 1 to the capacity,
-so the range-sorted lists of pieces and of gaps consist of at most
-``capacity`` runs of equal length; supersteps exchange runs (length, count),
-never rows, and what the driver holds is bounded by the capacity whatever the
-number of documents. Each superstep sweeps one run of pieces over the sorted
-gaps, takes the successor gap (the tightest that fits), resolves conflicts by
-rank within the run, and updates the gap runs. Executors then give each piece
-its rank within its run and look up its sequence.
+bulk-synchronous best-fit. Pieces and gaps are tables of rows. Pieces of more
+than half the capacity begin a sequence each. Then, band by band of falling
+lengths, a superstep range-sorts the band's pieces and the open gaps, deals both
+to parts by rank, so that every part sees the same mix of lengths and of gaps,
+and sweeps every part from large to small: a piece takes its successor, the
+tightest gap that holds it; of pieces that want the same gap, the first by rank
+has it and the others go on to the next. The remainders are the gaps of the next
+superstep, sorted and dealt anew. A last superstep sweeps what the smallest band
+left over. The driver sees counts of rows only.
 """
 
 from __future__ import annotations
 
-import bisect
 import re
 import unicodedata
 import zlib
@@ -22,15 +22,20 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BoundedCache, as_bytes, grouped, map_rows, materialize, table
+from .common import BoundedCache, as_bytes, grouped, map_rows, materialize, table, tidy
 
 CAPACITY = 2048
-#: Parts into which each run of equal lengths is split to rank it in parallel.
-SALTS = 64
+#: Pieces and gaps that one part of a superstep holds, about.
+PART_ROWS = 100_000
+#: Supersteps, by the largest length of their pieces as a share of the capacity.
+BANDS = (1 / 2, 1 / 3, 1 / 8, 1 / 32)
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+STATE = f"{PIECES}, _row long, sequence_id long, offset long, kind int"
+#: Kinds of rows: a placed piece, a gap (``_row`` its sequence, ``length`` its room), a piece that found no gap.
+PLACED, GAP, LEFT = 0, 1, 2
 
 
 def default_tokenizer_path() -> str:
@@ -138,90 +143,125 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
     return map_rows(as_bytes(docs, id_col, text_col), lambda: piece_maker(path, capacity, end), PIECES)
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
-    """Packs ``counts`` pieces of each length; rows (length, first_rank, n, first_sequence, offset).
+def successors(lengths: list[int], rooms: list[int], capacity: int, opening: bool) -> tuple[list[int], list[int], list[int]]:
+    """Places pieces, in falling order of length, each in the tightest gap that holds it.
 
-    The pieces of a row with ranks first_rank .. first_rank + n - 1 go to the n
-    sequences from first_sequence on, at ``offset`` in each. Supersteps go down
-    the runs of pieces; in each, the pieces not yet placed take the tightest
-    gaps first, one to a gap by rank; pieces that no open gap holds open new
-    sequences, as many to a sequence as fit.
+    Returns the number of each piece's gap (-1: none) and its offset, and the
+    rooms left. Gaps opened for pieces that find none, if ``opening``, come
+    after the given ones. Gaps wait in a stack for each size; the sweep moves
+    them to the open stack, smallest on top, when it comes down to their size.
     """
-    rows: list[tuple[int, int, int, int, int]] = []
-    gaps: dict[int, list[tuple[int, int]]] = {}  # size of gap: runs of sequences (first, n)
-    sizes: list[int] = []
-    opened = 0
-
-    def leave(size: int, run: tuple[int, int]) -> None:
-        if size:
-            if size not in gaps:
-                bisect.insort(sizes, size)
-                gaps[size] = []
-            gaps[size].append(run)
-
-    for length in sorted(counts, reverse=True):
-        rank, left = 0, counts[length]
-        while left:
-            at = bisect.bisect_left(sizes, length)
-            if at < len(sizes):
-                size = sizes[at]
-                first, n = gaps[size].pop()
-                took = min(n, left)
-                if took < n:
-                    gaps[size].append((first + took, n - took))
-                elif not gaps[size]:
-                    del gaps[size]
-                    sizes.pop(at)
-            else:
-                size = capacity
-                first, took = opened, -(-left // (capacity // length))
-                opened += took
-            rows.append((length, rank, took, first, capacity - size))
-            leave(size - length, (first, took))
-            rank, left = rank + took, left - took
-    return rows
-
-
-def pack(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    waiting: list[list[int]] = [[] for _ in range(capacity + 1)]
+    rooms = list(rooms)
+    for k in range(len(rooms) - 1, -1, -1):
+        waiting[rooms[k]].append(k)
+    opened: list[int] = []
+    gaps, offsets, size = [], [], capacity
+    opened += waiting[capacity]
+    for n in lengths:
+        while size > n:
+            size -= 1
+            opened += waiting[size]
+        if opened:
+            k = opened.pop()
+        elif opening:
+            k = len(rooms)
+            rooms.append(capacity)
+        else:
+            gaps.append(-1)
+            offsets.append(0)
+            continue
+        gaps.append(k)
+        offsets.append(capacity - rooms[k])
+        rooms[k] = left = rooms[k] - n
+        if left >= n:
+            opened.append(k)
+        elif left:
+            waiting[left].append(k)
+    return gaps, offsets, rooms
+
+
+def dealt(rows: DataFrame, parts: int) -> DataFrame:
+    """``rows`` with the part of each, dealt in turn by rank in falling order of length, so ties and copies are spread."""
+    if parts == 1:
+        return rows.withColumn("_part", F.lit(0).cast("long"))
+    ordered = rows.repartitionByRange(parts, F.desc("length"), "_row").sortWithinPartitions(F.desc("length"), "_row")
+    return ordered.withColumn("_part", F.pmod(F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)), F.lit(parts)))
+
+
+def superstep(pieces_: DataFrame, gaps: DataFrame, number: int, parts: int, capacity: int, opening: bool) -> DataFrame:
+    """One sweep of pieces over gaps; rows of :data:`STATE`, written."""
+
+    def sweep(group: pa.Table) -> pa.Table:
+        is_gap = group.column("kind").to_numpy() == GAP
+        length, row = group.column("length").to_numpy(), group.column("_row").to_numpy()
+        gap_at, piece_at = np.flatnonzero(is_gap), np.flatnonzero(~is_gap)
+        gap_at, piece_at = (x[np.lexsort((row[x], -length[x]))] for x in (gap_at, piece_at))
+        found, offset, rooms = successors(length[piece_at].tolist(), length[gap_at].tolist(), capacity, opening)
+        base = (number << 56) | (int(group.column("_part")[0].as_py()) << 32)
+        sequence = np.r_[row[gap_at], -1 - base - np.arange(len(rooms) - len(gap_at))]  # new ones have negative numbers, told apart by superstep and part
+        found, room = np.asarray(found, dtype=np.int64), np.asarray(rooms, dtype=np.int64)
+        own = pa.array(np.where(found >= 0, sequence[np.maximum(found, 0)] if len(sequence) else 0, 0))
+        some = group.take(pa.array(piece_at))
+        open_ = np.flatnonzero(room)
+        none = lambda n, kind: pa.nulls(n, kind)
+        n = len(open_)
+        placed = [*(some.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32", "_row")), own, pa.array(offset, pa.int64()), pa.array(np.where(found >= 0, PLACED, LEFT).astype(np.int32))]
+        left = [none(n, pa.int64()), none(n, pa.int32()), none(n, pa.int64()), pa.array(room[open_]), none(n, pa.int64()), pa.array(sequence[open_]), none(n, pa.int64()), none(n, pa.int64()), pa.array(np.full(n, GAP, dtype=np.int32))]
+        names = [c.split()[0] for c in STATE.split(", ")]
+        out = pa.concat_tables([pa.table(dict(zip(names, x))) for x in (placed, left)])
+        tidy()
+        return out
+
+    columns = [c.split()[0] for c in STATE.split(", ")]
+    rows = dealt(pieces_, parts).select(*columns, "_part").unionByName(dealt(gaps, parts).select(*columns, "_part"))
+    return materialize(rows.groupBy("_part").applyInArrow(sweep, STATE), "superstep")
+
+
+def pack(found: DataFrame, capacity: int = CAPACITY, part_rows: int = PART_ROWS, bands: tuple[float, ...] = BANDS) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to rows of :func:`pieces`.
 
-    ``found`` should be materialized: it is read twice. The plan that is sent
-    to the executors has at most a few rows for each pair of lengths that
-    meet, whatever the number of pieces. Pieces of equal length are
-    interchangeable; ties are ordered by document, piece and checksum, and
-    repeated rows take one place each.
+    ``found`` has a column ``_row`` that tells its rows apart, and is written:
+    it is read several times. Pieces of equal length are interchangeable;
+    repeated rows take one place each. In one part the result is that of
+    best-fit-decreasing; parts of ``part_rows`` rows lose a sequence each at most
+    in the last superstep.
     """
-    salted = found.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS)).cast("int"))
-    runs = salted.groupBy("length", "_salt").count().collect()  # at most capacity * SALTS rows
-    counts = np.zeros((capacity + 1, SALTS), dtype=np.int64)
-    for r in runs:
-        counts[r["length"], r["_salt"]] = r["count"]
-    before = (np.cumsum(counts, axis=1) - counts).tolist()
-    rows = plan({n: int(c) for n, c in enumerate(counts.sum(axis=1)) if c}, capacity)
-    steps: dict[int, tuple[list[int], list[int], list[int]]] = {}
-    for length, rank, _, first, offset in rows:
-        for to, x in zip(steps.setdefault(length, ([], [], [])), (rank, first, offset)):
-            to.append(x)
-
-    def place(batch: pa.RecordBatch) -> pa.RecordBatch:
-        length, salt, rn = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("length", "_salt", "_rn"))
-        seq, off = np.zeros(len(length), dtype=np.int64), np.zeros(len(length), dtype=np.int64)
-        for n in np.unique(length).tolist():
-            mine = np.flatnonzero(length == n)
-            base = np.asarray(before[n], dtype=np.int64)
-            rank = base[salt[mine]] + rn[mine] - 1
-            ranks, firsts, offsets = (np.asarray(x, dtype=np.int64) for x in steps[n])
-            at = np.searchsorted(ranks, rank, side="right") - 1
-            seq[mine], off[mine] = firsts[at] + rank - ranks[at], offsets[at]
-        keep = [batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "piece", "start", "length", "ids_crc32")]
-        return pa.RecordBatch.from_arrays(
-            [*keep, pa.array(seq), pa.array(off)],
-            names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
-        )
-
-    order = Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = salted.withColumn("_rn", F.row_number().over(order).cast("long"))
-    return map_rows(ranked, lambda: place, f"{PIECES}, sequence_id long, offset long")
+    columns = [c.split()[0] for c in PIECES.split(", ")]
+    nothing = {"sequence_id": F.lit(None).cast("long"), "offset": F.lit(None).cast("long")}
+    rows = found.withColumns({**nothing, "kind": F.lit(LEFT)})
+    limits = sorted({capacity // 2, *(max(1, int(capacity * b)) for b in bands)}, reverse=True)
+    band = F.lit(0)
+    for k, limit in enumerate(limits):
+        band = F.when(F.col("length") <= limit, k + 1).otherwise(band)
+    counts = {r["band"]: r["count"] for r in found.groupBy(band.alias("band")).count().collect()}
+    large = found.where(F.col("length") > limits[0]).withColumns({"sequence_id": F.col("_row"), "offset": F.lit(0).cast("long")})
+    out = [large.select(*columns, "sequence_id", "offset")]
+    empty = [F.lit(None).cast(t).alias(c) for c, t in (("doc_id", "long"), ("piece", "int"), ("start", "long"))]
+    gaps = large.where(F.col("length") < capacity).select(*empty, (capacity - F.col("length")).alias("length"), F.lit(None).cast("long").alias("ids_crc32"), "_row", *(v.alias(c) for c, v in nothing.items()), F.lit(GAP).alias("kind"))
+    n_gaps, number = counts.get(0, 0), 0
+    for k, limit in enumerate(limits):
+        if not counts.get(k + 1):
+            continue
+        below = limits[k + 1] if k + 1 < len(limits) else 0
+        some, n, last = rows.where((F.col("length") <= limit) & (F.col("length") > below)), counts[k + 1], max(counts) == k + 1
+        for opening in (False, True) if last else (True,):
+            if n:
+                done = superstep(some, gaps, number, -(-(n + n_gaps) // part_rows), capacity, opening)
+                number += 1
+                out.append(done.where(F.col("kind") == PLACED).select(*columns, "sequence_id", "offset"))
+                gaps, some = done.where(F.col("kind") == GAP), done.where(F.col("kind") == LEFT)
+                kinds = {r["kind"]: r["count"] for r in done.groupBy("kind").count().collect()}
+                n_gaps, n = kinds.get(GAP, 0), kinds.get(LEFT, 0)
+    result = out[0]
+    for part in out[1:]:
+        result = result.unionByName(part)
+    return result
+
+
+def numbered(found: DataFrame) -> DataFrame:
+    """``found``, written, with a number ``_row`` that tells its rows apart."""
+    return materialize(found.withColumn("_row", F.monotonically_increasing_id()), "pieces")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -231,7 +271,7 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int
     with equal or null ids are packed as rows of their own. Other columns are
     ignored; an empty table gives no rows.
     """
-    return pack(materialize(pieces(docs, tokenizer, capacity, id_col, text_col), "pieces"), capacity)
+    return pack(numbered(pieces(docs, tokenizer, capacity, id_col, text_col)), capacity)
 
 
 def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
