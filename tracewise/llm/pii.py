@@ -1,16 +1,20 @@
 """Personal data: exact base patterns plus a character-level BiLSTM-CRF tagger.
 
 The tagger is trained in numpy on windows of a bounded sample of documents,
-labelled with the spans of the base patterns. Texts are read as overlapping
-windows; their scores are averaged where windows overlap, the nearer a
-window's middle the heavier, and each stretch of touching windows is decoded
-once as a whole, so no span depends on where a window ends. Every kind of span
-holds a digit or ``@``: windows without either are not run.
+labelled with the spans of the base patterns and with disguised copies of them
+(``name (at) host dot org``, other separators, numbers without their plus
+sign), so it finds spans that no base pattern does. Texts are read as
+overlapping windows; their scores are averaged where windows overlap, the
+nearer a window's middle the heavier, and each stretch of touching windows is
+decoded once as a whole, so no span depends on where a window ends. Every kind
+of span has a digit, an ``@``, a dot between letters or the word ``dot``:
+windows without any of these hold none and are not run.
 """
 
 from __future__ import annotations
 
 import hashlib
+import pickle
 import re
 from dataclasses import dataclass
 
@@ -33,7 +37,8 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
-_TRIGGER = re.compile("[0-9@]")
+_DOT = re.compile("(?<![A-Za-z])[Dd][Oo][Tt](?![A-Za-z])")
+_TRIGGER = re.compile("[0-9@]|(?<=[A-Za-z])[.](?=[A-Za-z])|" + _DOT.pattern)
 
 
 def emails(text: str) -> list[tuple[int, int]]:
@@ -91,23 +96,23 @@ def spelt(spans: list[Span]) -> str:
 
 WINDOW, STRIDE, HIDDEN, TAGS = 96, 48, 16, 1 + 2 * len(KINDS)
 #: Bounds of the training sample: documents, characters of one of them, windows.
-TRAIN_DOCUMENTS, TRAIN_CHARS, TRAIN_WINDOWS = 1_500, 20_000, 1_200
+TRAIN_DOCUMENTS, TRAIN_CHARS, TRAIN_WINDOWS = 1_500, 20_000, 1_500
 #: Updates that small samples get at least.
 STEPS = 400
-_SINGLE = "@.-+()_%,:/=\"' "
+_SINGLE = "@.-+()_%,:/=\"' []dotaDOTA"
 _CLASSES = len(_SINGLE) + 8
 
 
 def _class_table() -> np.ndarray:
     """Class of each ASCII character; entry 128 is that of all others. Class 0 is padding."""
     out = np.full(129, 1, dtype=np.int64)
-    for i, c in enumerate(_SINGLE):
-        out[ord(c)] = 8 + i
     for c in "0123456789":
         out[ord(c)] = 2
     for c in "abcdefghijklmnopqrstuvwxyz":
         out[ord(c)] = 3 if c <= "f" else 4
         out[ord(c.upper())] = 5
+    for i, c in enumerate(_SINGLE):
+        out[ord(c)] = 8 + i
     out[[9, 10, 11, 12, 13]], out[128] = 6, 7
     return out
 
@@ -119,12 +124,20 @@ def classes(text: str) -> np.ndarray:
     return _TABLE[np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32), 128)]
 
 
-def active_windows(codes: np.ndarray) -> np.ndarray:
-    """Starts of the windows that hold a digit or ``@``."""
+#: Classes of letters, and of the dot.
+_LETTERS = np.isin(np.arange(_CLASSES), [*(_TABLE[ord(c)] for c in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")])
+_PERIOD, _AT = int(_TABLE[ord(".")]), int(_TABLE[ord("@")])
+
+
+def active_windows(codes: np.ndarray, text: str) -> np.ndarray:
+    """Starts of the windows that hold a digit, ``@``, a dot between letters or the word ``dot``."""
     n = max(1, -(-max(0, len(codes) - (WINDOW - STRIDE)) // STRIDE))
-    hit = np.flatnonzero((codes == 2) | (codes == 8))
+    hit = (codes == 2) | (codes == _AT)
+    if len(codes) > 2:
+        hit[1:-1] |= (codes[1:-1] == _PERIOD) & _LETTERS[codes[:-2]] & _LETTERS[codes[2:]]
+    places = np.r_[np.flatnonzero(hit), np.array([m.start() for m in _DOT.finditer(text)], dtype=np.int64)]
     blocks = np.zeros(n + 1, dtype=bool)
-    blocks[np.minimum(hit // STRIDE, n)] = True
+    blocks[np.minimum(places // STRIDE, n)] = True
     return np.flatnonzero(blocks[:n] | blocks[1:]) * STRIDE
 
 
@@ -197,7 +210,7 @@ class Tagger:
             d[t, rows, seen[t]] -= 1.0
         d /= n
         grad = {"out": np.einsum("tnh,tnk->hk", both, d), "bias": d.sum((0, 1)), "trans": d_trans / n}
-        d_both = d @ p["out"].T
+        d_both, hot = d @ p["out"].T, np.eye(_CLASSES, dtype=d.dtype)[codes]
         for w in "fb":
             d_out = d_both[:, :, :HIDDEN] if w == "f" else d_both[:, :, HIDDEN:]
             table, u = np.zeros_like(p[f"{w}x"]), np.zeros_like(p[f"{w}h"])
@@ -206,7 +219,7 @@ class Tagger:
                 dh = dh + d_out[t]
                 dc = dc + dh * o * (1 - tc * tc)
                 dz = np.concatenate([dc * g * i * (1 - i), dc * before * f * (1 - f), dh * tc * o * (1 - o), dc * i * (1 - g * g)], axis=1)
-                np.add.at(table, codes[:, t], dz)
+                table += hot[:, t].T @ dz
                 u += h.T @ dz
                 dh, dc = dz @ p[f"{w}h"].T, dc * f
             grad[f"{w}x"], grad[f"{w}h"] = table, u
@@ -242,7 +255,7 @@ class Tagger:
     def spans(self, texts: list[str]) -> list[list[Span]]:
         """Spans that the tagger sees in each text; implausible ones are left out."""
         coded = [(k, classes(t)) for k, t in enumerate(texts) if _TRIGGER.search(t)]
-        starts = [active_windows(c) for _, c in coded]
+        starts = [active_windows(c, texts[k]) for k, c in coded]
         cuts = [cut(c, s) for (_, c), s in zip(coded, starts)]
         weight = np.minimum(np.arange(WINDOW) + 1, WINDOW - np.arange(WINDOW)).astype(np.float32)[:, None]
         out: list[list[Span]] = [[] for _ in texts]
@@ -284,14 +297,44 @@ def runs(path: np.ndarray, first: int) -> list[Span]:
 
 
 def plausible(span: Span, text: str) -> bool:
+    """Whether a span can be of its kind at all: checksum, ranges and parts, however they are written."""
     kind, a, b = span
     part = text[a:b]
-    digits = len(_DIGIT.findall(part))
+    numbers = re.findall("[0-9]+", part)
+    digits = "".join(numbers)
+    if kind == "email":
+        return bool(re.search(r"[A-Za-z0-9]\W*(@|(?<![A-Za-z])at(?![A-Za-z]))\W*[A-Za-z0-9]", part, re.IGNORECASE)) and ("." in part or bool(_DOT.search(part)))
+    if kind == "card":
+        return 13 <= len(digits) <= 19 and luhn(digits)
+    return len(numbers) == 4 and all(map(_low, numbers)) if kind == "ip" else 9 <= len(digits) <= 15
+
+
+def disguise(kind: str, part: str, rng: np.random.Generator) -> str:
+    """A base span as people write it who don't want it found."""
+    pick = lambda *x: x[int(rng.integers(len(x)))]
+    digits = "".join(_DIGIT.findall(part))
     if kind == "email":
-        return 0 < part.find("@") < len(part) - 1
+        name, _, host = part.partition("@")
+        return name + pick(" at ", " (at) ", "[at]", " [at] ", "(at)", " AT ", " @ ", "@") + pick(" dot ", " (dot) ", "[dot]", "(dot)", " DOT ", ".").join(host.split("."))
+    if kind == "ip":
+        return pick(" . ", "[.]", " dot ", "(.)", " ", "[dot]").join(part.split("."))
     if kind == "card":
-        return 13 <= digits <= 19 and luhn("".join(_DIGIT.findall(part)))
-    return {"ip": 4 <= digits <= 12 and part.count(".") == 3, "phone": 9 <= digits <= 15}[kind]
+        return pick(".", "/", "_", "  ", " - ", ", ").join(digits[i : i + 4] for i in range(0, len(digits), 4))
+    a, b, c = digits[-10:-7], digits[-7:-4], digits[-4:]
+    return pick(f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"1 {a} {b} {c}", f"001 {a} {b} {c}", f"1-{a}-{b}-{c}", f"{a} {b} {c}", f"{a}/{b}-{c}")
+
+
+def disguised(text: str, spans: list[Span], rng: np.random.Generator) -> tuple[str, list[Span]]:
+    """``text`` with every span that overlaps none before it disguised, and where they are then."""
+    out, found, at, size = [], [], 0, 0
+    for kind, a, b in spans:
+        if a >= at:
+            new = disguise(kind, text[a:b], rng)
+            out += [text[at:a], new]
+            size += a - at
+            found.append((kind, size, size + len(new)))
+            at, size = b, size + len(new)
+    return "".join([*out, text[at:]]), found
 
 
 def tags_of(spans: list[Span], start: int) -> np.ndarray:
@@ -306,16 +349,18 @@ def tags_of(spans: list[Span], start: int) -> np.ndarray:
     return out
 
 
-def fit(texts: list[str], epochs: int = 10, batch: int = 48, rate: float = 0.02, seed: int = 7) -> Tagger:
-    """Trains on the windows of ``texts`` that hold a base span, and as many others at most."""
+def fit(texts: list[str], epochs: int = 12, batch: int = 64, rate: float = 0.02, seed: int = 7) -> Tagger:
+    """Trains on the windows of ``texts`` that hold a base span, plain and disguised twice, and as many others at most."""
     rng = np.random.default_rng(seed)
     some: list[tuple[np.ndarray, np.ndarray]] = []
     none: list[tuple[np.ndarray, np.ndarray]] = []
     for text in texts:
-        spans, codes = base_spans(text), classes(text)
-        for s in active_windows(codes).tolist() if _TRIGGER.search(text) else ():
-            tags = tags_of(spans, s)
-            (some if tags.any() else none).append((cut(codes, np.array([s]))[0], tags))
+        spans = base_spans(text)
+        for text, spans in [(text, spans), *(disguised(text, spans, rng) for _ in range(2 if spans else 0))]:  # noqa: PLW2901
+            codes = classes(text)
+            for s in active_windows(codes, text).tolist() if _TRIGGER.search(text) else ():
+                tags = tags_of(spans, s)
+                (some if tags.any() else none).append((cut(codes, np.array([s]))[0], tags))
     some = some[:: len(some) // TRAIN_WINDOWS + 1]
     none = none[:: len(none) // max(1, len(some)) + 1]
     scale = 0.3
@@ -348,11 +393,21 @@ def fit(texts: list[str], epochs: int = 10, batch: int = 48, rate: float = 0.02,
 
 
 def learn(docs: DataFrame, text_col: str = "text") -> Tagger:
-    """Fits on at most :data:`TRAIN_DOCUMENTS` distinct texts with a digit or ``@``, in the order of a hash of the text."""
-    texts = docs.select(F.col(text_col).cast("string").alias("t")).where(F.col("t").rlike("[0-9@]") & (F.length("t") <= TRAIN_CHARS))
+    """Fits on at most :data:`TRAIN_DOCUMENTS` distinct texts with a trigger, in the order of a hash of the text.
+
+    Texts of over :data:`TRAIN_CHARS` characters are not fitted on. One task
+    on an executor holds the sample and trains; the driver gets the weights.
+    """
+    texts = docs.select(F.col(text_col).cast("string").alias("t")).where(F.col("t").rlike(_TRIGGER.pattern) & (F.length("t") <= TRAIN_CHARS))
     keys = texts.select(F.xxhash64("t").alias("k")).distinct().orderBy("k").limit(TRAIN_DOCUMENTS)
     chosen = texts.withColumn("k", F.xxhash64("t")).join(F.broadcast(keys), "k").dropDuplicates(["k"])
-    return fit([r["t"] for r in sorted(chosen.toLocalIterator(), key=lambda r: r["k"])])
+
+    def train(batches):
+        rows = sorted((k, t) for b in batches for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit([t for _, t in rows]).p)], pa.binary())], names=["p"])
+
+    made = chosen.select("k", "t").repartition(1).mapInArrow(train, "p binary").collect()
+    return Tagger(pickle.loads(bytes(made[0]["p"]))) if made else fit([])
 
 
 def all_spans(texts: list[str], tagger: Tagger) -> list[tuple[list[Span], list[Span]]]:
