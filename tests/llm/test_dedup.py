@@ -182,8 +182,12 @@ def test_links_are_verified_in_parts_and_pairs_apart_are_compared_in_full(spark,
     monkeypatch.setattr(H, "PART", 7)
     rng = random.Random(24)
     key, node, root = np.array([rng.randrange(9) for _ in range(200)]), np.arange(200), np.array([rng.randrange(6) for _ in range(200)])
-    a, b, *_, n = H.open_pairs(key, node, np.full(200, 10), root, 0.8, step=50)
+    blank, everywhere = np.zeros((200, 8), dtype=np.uint64), np.full(200, -1)
+    a, b, *_, n = H.open_pairs(key, node, np.full(200, 10), root, blank, everywhere, 0.8, step=50)
     assert set(n.tolist()) == {1}
+    side = node % 2
+    c, d, *_ = H.open_pairs(key, node, np.full(200, 10), root, blank, side, 0.8, step=50)
+    assert set(zip(c.tolist(), d.tolist())) == {(x, y) for x, y in zip(a.tolist(), b.tolist()) if x % 2 != y % 2}
     assert set(zip(a.tolist(), b.tolist())) == {(a, b) for b in range(200) for a in range(b) if key[a] == key[b] and root[a] != root[b]}
     text = [f"w{i}" for i in range(300)]
     rows = [(i, " ".join(text[:i] + ["new"] + text[i + 1 :])) for i in range(0, 200, 5)]
@@ -200,3 +204,51 @@ def test_every_pair_at_just_the_similarity_is_found(spark):
         rows += [(g * 10, " ".join(a)), (g * 10 + 1, " ".join(b))]
     assert all(jaccard(rows[n][1], rows[n + 1][1]) == 0.8 for n in range(0, 800, 2))
     assert {r["doc_id"] for r in H.drop_near_duplicates(documents(spark, rows)).collect()} == {g * 10 for g in range(400)}
+
+
+def test_parity_maps_never_rule_out_a_similar_pair():
+    rng = np.random.default_rng(4)
+    for n in (1, 5, 60, 900, 5000):
+        a = rng.integers(-(2**62), 2**62, n)
+        b = np.unique(np.r_[a[n // 9 :], rng.integers(-(2**62), 2**62, n // 9)])
+        x, y = (np.frombuffer(H.parity_map(v), dtype=np.uint8) for v in (np.unique(a), b))
+        assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
+
+
+def test_near_copies_that_are_apart_from_one_another(spark, monkeypatch):
+    """A large group of copies of one text, each changed much, in parts of a few: as brute force finds, however keys are split."""
+    rng, base = random.Random(31), [f"w{i}" for i in range(160)]
+    rows = []
+    for i in range(160):
+        own = list(base)
+        for n in rng.sample(range(0, 160, 5), rng.choice([1, 2, 3, 4, 5])):
+            own[n] = f"x{i}n{n}"
+        rows.append((i, " ".join(own)))
+    want, similar = kept_by_brute_force(rows)
+    assert 5 < len(want) < 150 and similar
+    for side in (5_000, 20):
+        monkeypatch.setattr(H.other_links, "__defaults__", (side,))
+        assert {r["doc_id"] for r in H.drop_near_duplicates(documents(spark, rows)).collect()} == want
+
+
+def test_near_duplicates_of_real_texts_equal_brute_force(spark):
+    """All pairs of the sample table with a shingle in common, compared in full; columns have the operator's own names."""
+    from collections import defaultdict
+
+    rows = sample("documents", "doc_id, text")
+    rows += [(10_000 + i, " ".join([*t.split()[:-6], "and", "so", "it", "ends", "here", str(i)])) for i, t in rows[:60]]
+    sets, at = {i: set(H.shingles(t.encode(), 5)) for i, t in rows}, defaultdict(list)
+    for i, x in sets.items():
+        for h in x or {b""}:
+            at[h].append(i)
+    pairs = {(a, b) for ids in at.values() for a in ids for b in ids if a < b}
+    similar = [(a, b) for a, b in pairs if (c := len(sets[a] & sets[b])) >= 0.8 * (len(sets[a]) + len(sets[b]) - c)]
+    want = {i for i, r in classes(sets, similar).items() if i == r}
+    docs = documents(spark, rows).withColumnsRenamed({"score": "node", "_id": "_node", "lang": "root", "source": "_row"})
+    kept = H.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == want
+
+
+def test_prefixes_grow_with_the_fingerprints():
+    assert [H.prefix_for(n) for n in (0, 1000, 10**6, 10**9)] == sorted(H.prefix_for(n) for n in (0, 1000, 10**6, 10**9))
+    assert H.prefix_for(10**9) >= 20

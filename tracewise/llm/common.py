@@ -35,6 +35,14 @@ def spaced_words(text: bytes | None) -> list[bytes]:
     return (text or b"").lower().split()
 
 
+def fresh(name: str, columns: list[str]) -> str:
+    """``name``, lengthened until it is none of ``columns`` (in either case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def as_bytes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Two columns ``_id`` and ``_text`` (UTF-8 bytes, null for null)."""
     return df.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").cast("binary").alias("_text"))

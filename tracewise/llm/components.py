@@ -5,22 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import hinted, materialize
 
 
 def components(links: DataFrame, max_rounds: int = 50) -> DataFrame:
     """(node, root) for every node of ``links`` (columns a, b), root the smallest node it reaches.
 
-    Each step takes the smallest neighbour by a partial aggregation and joins
-    it back, so a hub's links are never gathered in one row, and skewed joins
-    can be split. Rounds are written to the shared folder; the number of
+    Each step takes the smallest neighbour by a partial aggregation, writes it
+    and joins it back, so a hub's links are never gathered in one row: a small
+    table is broadcast, a large one joined by a shuffle whose skewed partitions
+    adaptive execution splits, as nothing stands between it and the join. Rounds are written to the shared folder; the number of
     rounds grows with the logarithm of the number of nodes.
     """
     spark = links.sparkSession
     edges = canonical(links)
     state = None
     for _ in range(max_rounds):
-        edges = materialize(small_star(large_star(edges)), "links")
+        edges = materialize(small_star(materialize(large_star(edges), "links")), "links")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:
             break
@@ -38,11 +39,11 @@ def canonical(links: DataFrame) -> DataFrame:
 
 def large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return canonical(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")))
+    least = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
+    return canonical(both.where("b > a").join(hinted(least), "a").select(F.col("b").alias("a"), F.col("m").alias("b")))
 
 
 def small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    moved = edges.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = materialize(edges.groupBy("a").agg(F.min("b").alias("m")), "least")
+    moved = edges.join(hinted(least), "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return canonical(moved.union(least.select("a", F.col("m").alias("b"))))

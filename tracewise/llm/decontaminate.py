@@ -7,9 +7,10 @@ zero, the bucket of patterns that end in that block is looked up, the first
 block of each (its prefix) is compared, and direct comparison of all words
 confirms an occurrence.
 
-The benchmark is read in blocks of bounded size; each block's tables go to the
-executors and every document passes each block once, so no join between
-documents and windows is ever made.
+The benchmark is read in blocks of bounded size. A block's tables go to the
+executors, every document passes it, what was found is written, and the tables
+are destroyed before the next block is built: driver and executors hold one
+block at a time, and no join between documents and windows is ever made.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import alnum_words, as_bytes, map_rows, table
+from .common import alnum_words, as_bytes, map_rows, materialize, table
 
 WINDOW = 10
 #: Patterns in one block of the benchmark (a few hundred bytes each).
@@ -130,11 +131,24 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_patt
     source = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("long"), F.col(item_text_col).cast("string").cast("binary"))
     rows = ((r[0], None if r[1] is None else bytes(r[1])) for r in source.toLocalIterator())
     state = as_bytes(docs, id_col, text_col).select("_id", "_text", *(F.lit(None).cast(t).alias(n) for n, t in (("n_words", "long"), ("ranges", "array<struct<start:int,end:int>>"), ("items", "array<long>"))))
-    sc = docs.sparkSession.sparkContext
-    for matchers in [*blocks(rows, window, block_patterns)] or [[]]:
-        tables = sc.broadcast(matchers)
-        state = map_rows(state, lambda tables=tables: lambda batch: scan(batch, tables.value), f"_id long, _text binary, {STATE}")
-    return state.select(F.col("_id").alias("doc_id"), "n_words", "ranges", "items")
+    schema = f"_id long, _text binary, {STATE}"
+    return in_turn(state, blocks(rows, window, block_patterns), lambda tables: lambda batch: scan(batch, tables.value), schema).select(F.col("_id").alias("doc_id"), "n_words", "ranges", "items")
+
+
+def in_turn(df: DataFrame, some_blocks: Iterator[list[Matcher]], make, schema) -> DataFrame:
+    """``df`` after each block's function in turn; ``make`` gets a broadcast block.
+
+    The result of all but the last block is written before the next is built.
+    """
+    sc, held = df.sparkSession.sparkContext, next(some_blocks, [])
+    while True:
+        tables = sc.broadcast(held)
+        out = map_rows(df, lambda tables=tables: make(tables), schema)
+        held = next(some_blocks, None)
+        if held is None:
+            return out
+        df = materialize(out, "searched")
+        tables.destroy()
 
 
 def scan(batch: pa.RecordBatch, matchers: list[Matcher]) -> pa.RecordBatch:
@@ -153,19 +167,21 @@ def scan(batch: pa.RecordBatch, matchers: list[Matcher]) -> pa.RecordBatch:
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_patterns: int = BLOCK_PATTERNS, text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that hold a window of the benchmark; all columns stay."""
+    """``docs`` without the rows that hold a window of the benchmark; all columns stay.
+
+    Null and empty texts hold none and stay, as does everything if the
+    benchmark is empty; an item without an id is left out. Repeated rows are
+    judged each; columns may have any names.
+    """
     source = benchmark.where(F.col("item_id").isNotNull()).select("item_id", F.col("text").cast("binary"))
     rows = ((r[0], None if r[1] is None else bytes(r[1])) for r in source.toLocalIterator())
     at = docs.columns.index(text_col)
-    for matchers in blocks(rows, window, block_patterns):
-        tables = docs.sparkSession.sparkContext.broadcast(matchers)
 
-        def keep(batch: pa.RecordBatch, tables=tables) -> pa.RecordBatch:
-            texts = (t.as_py() for t in batch.column(at).cast(pa.binary()))
-            return batch.filter(pa.array([next((False for m in tables.value for _ in m.search(w)), True) for w in map(alnum_words, texts)], pa.bool_()))
+    def keep(batch: pa.RecordBatch, tables) -> pa.RecordBatch:
+        texts = (t.as_py() for t in batch.column(at).cast(pa.binary()))
+        return batch.filter(pa.array([next((False for m in tables.value for _ in m.search(w)), True) for w in map(alnum_words, texts)], pa.bool_()))
 
-        docs = map_rows(docs, lambda keep=keep: keep, docs.schema)
-    return docs
+    return in_turn(docs, blocks(rows, window, block_patterns), lambda tables: lambda batch: keep(batch, tables), docs.schema)
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import fresh, materialize, table
 
 WINDOW = 8
 _SPACE = r"\x20\x09-\x0D"
@@ -196,14 +196,6 @@ def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return counted.withColumns({"base_failed": base_failed(F.col), "p_good": 1 / (1 + F.exp(odds))}).withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= 0.5))
 
 
-def fresh(name: str, columns: list[str]) -> str:
-    """``name``, lengthened until it is none of ``columns`` (in either case)."""
-    taken = {c.lower() for c in columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
-
-
 def filter_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that the base rule or the model rejects; all columns stay.
 

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, hinted, map_rows, materialize, spaced_words, table, tidy
+from .common import as_bytes, fresh, hinted, map_rows, materialize, spaced_words, table, tidy
 from .components import components
 
 _CHUNK = 1 << 16
@@ -190,11 +190,19 @@ def ball_links(nodes: DataFrame, blocks: list[Block], radius: int, n_words: int,
     return rows.groupBy("bucket").applyInArrow(collide, "a long, b long")
 
 
-def near_classes(found: DataFrame, prefix_bits: int = 12) -> DataFrame:
+def prefix_for(count: int, half: int = 2, load: int = 20_000) -> int:
+    """Prefix bits, 8 to 32, with which an average bucket holds ``load`` of ``count`` fingerprints' rows or fewer.
+
+    Only the size of buckets depends on it, not what is linked.
+    """
+    return next((b for b in range(8, 32) if count * sum(math.comb(b, r) for r in range(half + 1)) <= load << b), 32)
+
+
+def near_classes(found: DataFrame, prefix_bits: int | None = None) -> DataFrame:
     """(f0, component_id) for every distinct fingerprint of ``found`` (doc_id, f0), linked at 4 bits or fewer."""
     nodes = found.groupBy("f0").agg(F.min("doc_id").alias("first")).withColumn("node", F.col("f0"))
     nodes = materialize(nodes, "fingerprints")
-    links = materialize(ball_links(nodes, [Block(0, 0, 64)], 4, 1, 4, prefix_bits).distinct(), "links")
+    links = materialize(ball_links(nodes, [Block(0, 0, 64)], 4, 1, 4, prefix_bits or prefix_for(nodes.count())).distinct(), "links")
     roots = components(links)
     rooted = nodes.join(roots, "node", "left").select("f0", "first", F.coalesce("root", "f0").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
@@ -216,7 +224,9 @@ def near_duplicates(docs: DataFrame, k: int = 4, id_col: str = "doc_id", text_co
 
 
 #: Prefix rows of an average bucket, links verified at a time, documents sampled for common shingles, most of these, and pairs looked at at once.
-LOAD, PART, SAMPLE, COMMON, PAIRS = 100_000, 200_000, 10_000, 200_000, 1 << 20
+LOAD, PART, SAMPLE, COMMON, PAIRS = 100_000, 200_000, 10_000, 200_000, 1 << 18
+#: Bits of the map that bounds how far two sets differ, and sets with one key that a task compares with each other or with as many more.
+MAP_BITS, SIDE = 512, 5_000
 
 
 def hashes(text: bytes | None, k: int) -> np.ndarray:
@@ -250,18 +260,26 @@ def prefix(found: np.ndarray, similarity: float, common: np.ndarray, counts: np.
     return found[np.lexsort((found, np.where(common[at] == found, counts[at], 0)))[:take]]
 
 
+def parity_map(found: np.ndarray) -> bytes:
+    """For each of :data:`MAP_BITS` residues, whether the set has an odd number of hashes with it.
+
+    Maps of two sets differ in no more bits than the sets in hashes.
+    """
+    return np.packbits(np.bincount(found & (MAP_BITS - 1), minlength=MAP_BITS).astype(np.uint8) & 1).tobytes()
+
+
 def shingle_prefixes(docs: DataFrame, k: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, f0, f1, size, keys): digest and size of the shingle set, and its prefix."""
+    """(doc_id, f0, f1, size, keys, map): digest and size of the shingle set, its prefix, its parity map."""
     common, counts = common_shingles(docs, k, id_col, text_col)
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [hashes(t.as_py(), k) for t in batch.column(1)]
         digests = np.frombuffer(b"".join([xxhash.xxh3_128_digest(x.tobytes()) for x in sets]), dtype=">i8").astype(np.int64).reshape(-1, 2)
         keys = pa.array([prefix(x, similarity, common, counts) for x in sets], pa.list_(pa.int64()))
-        columns = [batch.column(0), pa.array(digests[:, 0].copy()), pa.array(digests[:, 1].copy()), pa.array([len(x) for x in sets], pa.int32()), keys]
-        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "f0", "f1", "size", "keys"])
+        columns = [batch.column(0), pa.array(digests[:, 0].copy()), pa.array(digests[:, 1].copy()), pa.array([len(x) for x in sets], pa.int32()), keys, pa.array([parity_map(x) for x in sets], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "f0", "f1", "size", "keys", "map"])
 
-    return map_rows(as_bytes(docs, id_col, text_col), lambda: step, "doc_id long, f0 long, f1 long, size int, keys array<long>")
+    return map_rows(as_bytes(docs, id_col, text_col), lambda: step, "doc_id long, f0 long, f1 long, size int, keys array<long>, map binary")
 
 
 def shingle_sets(docs: DataFrame, ids: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
@@ -275,16 +293,11 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, k: int, id_col: str, text_col:
     return sets if sets.count() <= ids.count() else sets.dropDuplicates(["node"])
 
 
-def shared_keys(nodes: DataFrame, buckets: int) -> DataFrame:
-    """(key, node, size) of prefix keys that several nodes have."""
-    names = ["key", "node", "size"]
-    rows = nodes.select("node", "size", F.explode("keys").alias("key")).withColumn("bucket", F.pmod("key", F.lit(buckets)))
-
-    def repeated(group: pa.Table) -> pa.Table:
-        _, number, count = np.unique(group.column("key").to_numpy(), return_inverse=True, return_counts=True)
-        return group.select(names).filter(pa.array(count[number] > 1))
-
-    return rows.groupBy("bucket").applyInArrow(repeated, "key long, node long, size int")
+def shared_keys(nodes: DataFrame) -> DataFrame:
+    """(key, node, size, c, n) of prefix keys that several nodes have; c is the smallest of these, with its size, n how many they are."""
+    rows = nodes.select("node", "size", F.explode("keys").alias("key"))
+    repeated = materialize(rows.groupBy("key").agg(F.min(F.struct("node", "size")).alias("c"), F.count("*").alias("n")).where("n > 1"), "repeated")
+    return rows.join(hinted(repeated), "key")
 
 
 def able(counted: DataFrame, similarity: float) -> DataFrame:
@@ -300,18 +313,19 @@ def able(counted: DataFrame, similarity: float) -> DataFrame:
 
 def first_links(shared: DataFrame, similarity: float) -> DataFrame:
     """Links (a, b) from the smallest node of each key to others that are likely to be similar to it."""
-    centre = shared.groupBy("key").agg(F.min(F.struct("node", "size")).alias("c"))
-    pairs = shared.join(centre, "key").where(f"c.node < node AND least(c.size, size) >= {similarity!r} * greatest(c.size, size) - 1e-9")
+    pairs = shared.where(f"c.node < node AND least(c.size, size) >= {similarity!r} * greatest(c.size, size) - 1e-9")
     return able(pairs.select(F.col("c.node").alias("a"), F.col("node").alias("b"), F.col("c.size").alias("sa"), F.col("size").alias("sb"), F.lit(1).alias("n")), similarity)
 
 
-def open_pairs(key: np.ndarray, node: np.ndarray, size: np.ndarray, root: np.ndarray, similarity: float, step: int = PAIRS) -> tuple[np.ndarray, ...]:
-    """a, b, their sizes and how many keys they have in common, for all pairs of different roots with a key in common and sizes that allow ``similarity``.
+def open_pairs(key: np.ndarray, node: np.ndarray, size: np.ndarray, root: np.ndarray, maps: np.ndarray, side: np.ndarray, similarity: float, step: int = PAIRS) -> tuple[np.ndarray, ...]:
+    """a, b, their sizes and how many keys they have in common, for all pairs of different roots with a key in common that can be similar.
 
-    ``step`` pairs are looked at at a time.
+    Sizes and parity ``maps`` (a row of 64-bit words for each place) rule pairs
+    out. Of a key whose ``side`` isn't negative, only pairs of different sides
+    count. ``step`` pairs are looked at at a time.
     """
     order = np.lexsort((root, key))
-    key, node, size, root = (x[order] for x in (key, node, size, root))
+    key, node, size, root, maps, side = (x[order] for x in (key, node, size, root, maps, side))
     names, at_first, number = np.unique(node, return_index=True, return_inverse=True)
     of_key = np.r_[True, key[1:] != key[:-1]]
     of_root = of_key | np.r_[True, root[1:] != root[:-1]]
@@ -322,7 +336,13 @@ def open_pairs(key: np.ndarray, node: np.ndarray, size: np.ndarray, root: np.nda
         flat = np.arange(at, min(at + step, int(ends[-1])))
         i = np.searchsorted(ends, flat, side="right")
         j = last[i] - (ends[i] - flat)
-        ok = np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-9
+        ok = (np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-9) & ((side[i] < 0) | (side[i] != side[j]))
+        i, j = i[ok], j[ok]
+        both = size[i].astype(np.int64) + size[j]
+        apart = np.zeros(len(i), dtype=np.int64)
+        for w in range(maps.shape[1]):
+            apart += np.bitwise_count(maps[i, w] ^ maps[j, w])
+        ok = apart <= both - 2 * np.ceil(similarity / (1 + similarity) * both - 1e-9)
         i, j = number[i[ok]], number[j[ok]]
         new, n = np.unique(np.minimum(i, j) * len(names) + np.maximum(i, j), return_counts=True)
         pairs, where = np.unique(np.r_[pairs, new], return_inverse=True)
@@ -331,12 +351,30 @@ def open_pairs(key: np.ndarray, node: np.ndarray, size: np.ndarray, root: np.nda
     return names[a], names[b], size[at_first[a]], size[at_first[b]], counts
 
 
-def other_links(shared: DataFrame, roots: DataFrame, similarity: float, buckets: int) -> DataFrame:
-    """Links (a, b), a < b, of nodes that can be similar and that ``roots`` (node, root) doesn't connect."""
-    rows = shared.join(roots, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"), F.pmod("key", F.lit(buckets)).alias("bucket"))
+def other_links(shared: DataFrame, roots: DataFrame, nodes: DataFrame, similarity: float, buckets: int, side: int = SIDE) -> DataFrame:
+    """Links (a, b), a < b, of nodes that can be similar and that ``roots`` (node, root) doesn't connect.
+
+    Keys whose nodes are all connected go first. Of a key with more than
+    ``side`` nodes, parts of about ``side`` meet two at a time, each two in a
+    group of their own, so no task holds more than two parts of one key.
+    """
+    rooted = shared.join(hinted(roots), "node", "left").select("key", "node", "size", "n", F.coalesce("root", "node").alias("root"))
+    rooted = materialize(rooted, "rooted")
+    apart = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+    rows = rooted.join(hinted(materialize(apart, "apart")), "key", "left_semi").join(nodes.select("node", "map"), "node")
+    parts = F.ceil(F.col("n") / F.lit(side)).cast("long")
+    own = F.when(parts > 1, F.pmod(F.xxhash64("node"), parts))
+    rows = rows.withColumns({"_own": own, "_other": F.explode(F.when(parts > 1, F.sequence(F.lit(0).cast("long"), parts - 1)).otherwise(F.array(F.lit(None).cast("long"))))})
+    pair = F.xxhash64("key", F.least("_own", "_other"), F.greatest("_own", "_other"))
+    rows = rows.select(
+        "key", "node", "size", "root", "map",
+        F.coalesce(F.when(F.col("_own") != F.col("_other"), F.col("_own")), F.lit(-1).cast("long")).alias("side"),  # within a part, all pairs count
+        F.when(parts > 1, pair).otherwise(F.pmod("key", F.lit(buckets))).alias("bucket"),
+    )
 
     def pairs(group: pa.Table) -> pa.Table:
-        found = open_pairs(*(group.column(c).to_numpy() for c in ("key", "node", "size", "root")), similarity)
+        maps = np.frombuffer(b"".join(group.column("map").to_pylist()), dtype=np.uint64).reshape(-1, MAP_BITS // 64)
+        found = open_pairs(*(group.column(c).to_numpy() for c in ("key", "node", "size", "root")), maps, group.column("side").to_numpy(), similarity)
         tidy()
         return pa.table({n: pa.array(x, pa.int64()) for n, x in zip(("a", "b", "sa", "sb", "n"), found)})
 
@@ -362,36 +400,40 @@ def similar_links(docs: DataFrame, found: DataFrame, k: int, similarity: float,
 
     Similar sets have a key of their prefixes in common. The smallest node of
     each key is compared with the others first; then all pairs with a key in
-    common that the similar ones among those links leave apart.
+    common that the similar ones among those links leave apart and that sizes,
+    parity maps and counts of common keys allow.
     """
-    nodes = materialize(found.where("doc_id is not null").groupBy("f0", "f1").agg(F.min("doc_id").alias("node"), F.first("size").alias("size"), F.first("keys").alias("keys")), "sets")
+    first = (F.first(c).alias(c) for c in ("size", "keys", "map"))  # of equal sets these are equal
+    nodes = materialize(found.where("doc_id is not null").groupBy("f0", "f1").agg(F.min("doc_id").alias("node"), *first), "sets")
     buckets = max(64, (nodes.agg(F.sum(F.size("keys"))).first()[0] or 0) // LOAD)
-    shared = materialize(shared_keys(nodes, buckets), "shared")
+    shared = materialize(shared_keys(nodes), "shared")
     tried = materialize(first_links(shared, similarity), "candidates")
     links = verified(tried, docs, k, similarity, id_col, text_col)
-    others = materialize(other_links(shared, components(links), similarity, buckets).join(tried, ["a", "b"], "left_anti"), "candidates")
+    others = materialize(other_links(shared, components(links), nodes, similarity, buckets).join(tried, ["a", "b"], "left_anti"), "candidates")
     return nodes.select("f0", "f1", "node"), links.union(verified(others, docs, k, similarity, id_col, text_col))
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document, that of the smallest id, of each class of near duplicates; all columns stay.
 
-    Similarity is that of shingle sets, and every similar pair counts. Rows
+    Similarity is that of shingle sets, and every similar pair counts. Null,
+    empty and blank texts have the same empty set, so one of them stays. Rows
     without an id are kept and not compared; of rows that repeat an id and its
-    text, one stays.
+    text, one stays. Columns may have any names; an empty table stays empty.
     """
     found = materialize(shingle_prefixes(docs, k, similarity, id_col, text_col), "prefixes")
     nodes, links = similar_links(docs, found, k, similarity, id_col, text_col)
     rooted = nodes.join(components(materialize(links, "links")), "node", "left").withColumn("root", F.coalesce("root", "node"))
     labelled = found.select("doc_id", "f0", "f1").join(rooted.select("f0", "f1", "root"), ["f0", "f1"])
-    dropped = materialize(labelled.where("doc_id <> root").select(F.col("doc_id").alias("node")).distinct(), "dropped")
+    name = fresh("_node", docs.columns)
+    dropped = materialize(labelled.where("doc_id <> root").select(F.col("doc_id").alias(name)).distinct(), "dropped")
     here = F.col(id_col).cast("long")
-    kept = docs.join(hinted(dropped), here == F.col("node"), "left_anti")
-    repeated = materialize(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("node")), "repeated")
+    kept = docs.join(hinted(dropped), here == F.col(name), "left_anti")
+    repeated = materialize(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(name)), "repeated")
     if repeated.isEmpty():
         return kept
     again = hinted(repeated)
-    return kept.join(again, here == F.col("node"), "left_anti").unionByName(kept.join(again, here == F.col("node"), "left_semi").dropDuplicates([id_col, text_col]))
+    return kept.join(again, here == F.col(name), "left_anti").unionByName(kept.join(again, here == F.col(name), "left_semi").dropDuplicates([id_col, text_col]))
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
