@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from typing import Protocol
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..shared import materialize
 from .ranks import global_rank, tile_of_rank
 from .trajectory import extent
 
+#: Points of a node, or of an axis, that a window in one task may order; more are ranked by range.
+WINDOW_ROWS = 1_000_000
 AXES = ("x", "y", "t")
 BOX = tuple(f"{a}{e}" for a in AXES for e in ("min", "max"))
 
@@ -62,17 +64,27 @@ class Grid:
 
 @dataclass(frozen=True)
 class KdTree:
-    """Splits by count at the middle row of the axis in turn, level by level over all nodes at once."""
+    """Splits by count at the middle row of the axis in turn, level by level over all nodes at once.
+
+    While nodes are large, places come from ranks by range; nodes of
+    ``window_rows`` points at most are ordered by windows, a node to a task.
+    """
 
     depth: int
     axes: tuple[str, ...] = AXES
+    window_rows: int = WINDOW_ROWS
 
     def leaves(self, points: DataFrame) -> DataFrame:
         """Points with the number of their leaf (bits of the halves taken, the first highest)."""
-        out = points.withColumn("node", F.lit(0).cast("long"))
+        out, largest = points.withColumn("node", F.lit(0).cast("long")), points.count()
         for level in range(self.depth):
             axis = source(self.axes[level % len(self.axes)])
-            ranked = global_rank(out, ["node"], [axis, "event_id"], "_r")
+            if largest > self.window_rows:
+                ranked = global_rank(out, ["node"], [axis, "event_id"], "_r")
+            else:
+                node = Window.partitionBy("node")
+                ranked = out.withColumns({"_r": F.row_number().over(node.orderBy(axis, "event_id")), "_r_n": F.count("*").over(node)})
+            largest = -(-largest // 2)
             out = ranked.withColumn("node", F.expr("node * 2 + CASE WHEN _r - 1 >= floor(_r_n / 2) THEN 1 ELSE 0 END")).drop("_r", "_r_n")
         return out
 
@@ -82,7 +94,7 @@ class KdTree:
         The plane of a node is the least value of its upper half.
         """
         least = [F.min(source(a)).cast("double").alias(f"_{a}") for a in AXES]
-        rows = materialize(self.leaves(points).groupBy("node").agg(*least), "leaves")  # a row for each leaf, all that planes need
+        rows = materialize(self.leaves(points.select("event_id", *map(source, AXES))).groupBy("node").agg(*least), "leaves")  # a row for each leaf, all that planes need
         box = extent(points).select(F.lit(0).cast("long").alias("node"), *(F.col(c).cast("double").alias(c) for c in BOX))
         for level in range(self.depth):
             axis, shift = self.axes[level % len(self.axes)], self.depth - level - 1
@@ -106,12 +118,18 @@ class AdaptiveBins:
     axes: tuple[str, ...] = ("t", "y", "x")
     exact: bool = True
     accuracy: int = 10_000
+    window_rows: int = WINDOW_ROWS
 
     def axis_bins(self, points: DataFrame, axis: str) -> DataFrame:
         """(bin, lo, hi): a bin starts at its first value and ends where the next starts; the outer ends are the extent's."""
         v = source(axis)
         if self.exact:
-            ranked = global_rank(points.select(F.col(v).cast("double").alias("v"), "event_id").withColumn("_one", F.lit(1)), ["_one"], ["v", "event_id"], "_r")
+            values = points.select(F.col(v).cast("double").alias("v"), "event_id").withColumn("_one", F.lit(1))
+            if points.count() > self.window_rows:
+                ranked = global_rank(values, ["_one"], ["v", "event_id"], "_r")
+            else:
+                every = Window.partitionBy("_one")
+                ranked = values.withColumns({"_r": F.row_number().over(every.orderBy("v", "event_id")), "_r_n": F.count("*").over(every)})
             starts = ranked.groupBy(F.expr(tile_of_rank("_r", "_r_n", self.bins)).alias("bin")).agg(F.min("v").alias("lo"), F.max("v").alias("_top"))
         else:
             cut = [i / self.bins for i in range(self.bins)]
@@ -122,6 +140,8 @@ class AdaptiveBins:
         return starts.join(later, "bin", "left").join(F.broadcast(top)).select("bin", "lo", F.coalesce("_next", "_end").alias("hi"))
 
     def grid(self, points: DataFrame) -> DataFrame:
+        if self.exact:
+            points = materialize(points.select("event_id", *map(source, AXES)), "points")  # read once for each axis
         out, tile = None, "0"
         for a in self.axes:
             b = self.axis_bins(points, a).select(F.col("bin").alias(f"_{a}"), F.col("lo").alias(f"{a}min"), F.col("hi").alias(f"{a}max"))
@@ -170,18 +190,3 @@ class Hash:
 
     def assign(self, points: DataFrame) -> DataFrame:
         return points.withColumn("tileid", F.pmod(F.col(self.key), F.lit(self.n)).cast("long"))
-
-
-@dataclass(frozen=True)
-class Registry:
-    """Partitioners by name, for harness runs."""
-
-    size: int = 4
-    depth: int = 6
-    named: dict = field(default_factory=dict)
-
-    def all(self) -> dict[str, Partitioner]:
-        return {
-            "grid": Grid(self.size), "kdtree": KdTree(self.depth), "adaptive": AdaptiveBins(self.size),
-            "approximate": AdaptiveBins(self.size, exact=False), "kmeans": BisectingKMeans(self.size**3), **self.named,
-        }

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels as K
 from ..shared import hinted
+from .boxes import SEGMENT, meet
 
 _PIECE = ("t0", "x0", "y0", "t1", "x1", "y1")
 
@@ -47,17 +48,15 @@ def at_periods(segments: DataFrame, periods: DataFrame, width: int = 5 * 86_400_
 
 def at_boxes(segments: DataFrame, boxes: DataFrame, box_id: str, axes: str = "xy") -> DataFrame:
     """Pieces of segments within boxes (columns xmin.. for each of ``axes``), borders in."""
-    meet = " AND ".join(f"least({a}0, {a}1) <= {a}max AND greatest({a}0, {a}1) >= {a}min" for a in axes)
     lo, hi = K.clip(axes)
-    both = segments.join(hinted(boxes), F.expr(meet)).withColumns({"_lo": F.expr(lo), "_hi": F.expr(hi)}).where(K.kept("_lo", "_hi"))
+    both = meet(segments, boxes, {a: SEGMENT[a] for a in axes}).withColumns({"_lo": F.expr(lo), "_hi": F.expr(hi)}).where(K.kept("_lo", "_hi"))
     return _cut(both, "_lo", "_hi", "mo_id", "vehid", box_id)
 
 
 def in_polygons(segments: DataFrame, polygons: DataFrame, polygon_id: str) -> DataFrame:
     """Segments with the share of each that lies in a polygon (column edges), where that is more than nothing."""
-    box = {f"_{a}{f}": F.expr(f"array_{f}(transform(edges, q -> q.a{a}))") for a in "xy" for f in ("min", "max")}
-    meet = " AND ".join(f"least({a}0, {a}1) <= _{a}max AND greatest({a}0, {a}1) >= _{a}min" for a in "xy")
-    both = segments.join(hinted(polygons.withColumns(box)), F.expr(meet))
+    box = {f"{a}{f}": F.expr(f"array_{f}(transform(edges, q -> q.a{a}))") for a in "xy" for f in ("min", "max")}
+    both = meet(segments, polygons.withColumns(box), {a: SEGMENT[a] for a in "xy"})
     # cuts are bound as a lambda variable: as a column they would be computed anew for every use
     share = f"get(transform(array({K.ring_cuts('edges')}), cuts -> {K.inside_share('cuts', 'edges')}), 0)"
     return both.withColumn("share", F.expr(share)).where("share > 0").drop(*box)
@@ -66,8 +65,7 @@ def in_polygons(segments: DataFrame, polygons: DataFrame, polygon_id: str) -> Da
 def ever_intersects_boxes(segments: DataFrame, boxes: DataFrame, box_id: str) -> DataFrame:
     """Distinct (mo_id, box) whose traces meet the rectangle."""
     lo, hi = K.clip("xy")
-    meet = "least(x0, x1) <= xmax AND greatest(x0, x1) >= xmin AND least(y0, y1) <= ymax AND greatest(y0, y1) >= ymin"
-    return segments.join(hinted(boxes), F.expr(f"{meet} AND {K.kept(lo, hi)}")).select("mo_id", "vehid", box_id).distinct()
+    return meet(segments, boxes, {a: SEGMENT[a] for a in "xy"}).where(K.kept(lo, hi)).select("mo_id", "vehid", box_id).distinct()
 
 
 def ever_touches_boxes(segments: DataFrame, boxes: DataFrame, box_id: str) -> DataFrame:
@@ -78,11 +76,25 @@ def ever_touches_boxes(segments: DataFrame, boxes: DataFrame, box_id: str) -> Da
         x, y = K.at("x", lam), K.at("y", lam)
         return f"({lam} > 0 AND {lam} < 1 OR {x} = xmin OR {x} = xmax OR {y} = ymin OR {y} = ymax)"
 
-    meet = "least(x0, x1) <= xmax AND greatest(x0, x1) >= xmin AND least(y0, y1) <= ymax AND greatest(y0, y1) >= ymin"
-    both = segments.join(hinted(boxes), F.expr(meet)).withColumns({"_lo": F.expr(lo), "_hi": F.expr(hi)})
+    both = meet(segments, boxes, {a: SEGMENT[a] for a in "xy"}).withColumns({"_lo": F.expr(lo), "_hi": F.expr(hi)})
     return both.where(F.expr(f"{K.kept('_lo', '_hi')} AND ({on('_lo')} OR {on('_hi')})")).select("mo_id", "vehid", box_id).distinct()
 
 
+def ever_intersects_movers(left: DataFrame, right: DataFrame, pair: str = "a.mo_id < b.mo_id", cell: float = 64.0) -> DataFrame:
+    """Distinct (a_mo_id, b_mo_id) of movers whose traces have a point in common, at whatever times.
+
+    Traces meet by cell of the plane; boxes are compared before the exact test.
+    A sequence's exclusive end counts as part of its trace.
+    """
+    def cells(df: DataFrame) -> DataFrame:
+        for a in "xy":
+            df = df.withColumn(f"_c{a}", F.explode(F.sequence(F.floor(F.least(f"{a}0", f"{a}1") / cell), F.floor(F.greatest(f"{a}0", f"{a}1") / cell))))
+        return df
+
+    a, b = cells(left).alias("a"), cells(right).alias("b")
+    return a.join(b, F.expr(f"a._cx = b._cx AND a._cy = b._cy AND ({pair}) AND {K.crosses()}")).select(F.col("a.mo_id").alias("a_mo_id"), F.col("b.mo_id").alias("b_mo_id")).distinct()
+
+
 def passes_points(segments: DataFrame, points: DataFrame, cell: float = 16.0) -> DataFrame:
     """(mo_id, vehid, pointid) where a trace goes exactly through a point (columns pointid, x, y).
 

@@ -6,7 +6,7 @@ a position on a tile border comes once.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
@@ -14,6 +14,8 @@ from ..operators import distance as D
 from ..operators import partitioners as P
 from ..operators import restrict as R
 from ..operators import tiling
+from ..operators.boxes import SEGMENT, meet
+from ..shared import hinted, materialize
 from .queries import _GRID, _LAM, CELLS, _pairs, q, query
 from .world import World
 
@@ -25,7 +27,7 @@ _TRUCKS = "(SELECT s.*, licence FROM segs s JOIN vehicles USING (vehid) WHERE ty
 def licensed(w: World, licences: DataFrame) -> DataFrame:
     """Segments of the vehicles with stated licences."""
     ids = w.vehicles.join(F.broadcast(licences), "licence").select("vehid", "licence")
-    return w.segments.join(F.broadcast(ids), "vehid")
+    return w.segments.join(hinted(ids), "vehid")
 
 
 @query("SELECT licence, model FROM ql1 JOIN vehicles USING (licence)")
@@ -61,8 +63,8 @@ def bench_05_min_distance(w: World) -> DataFrame:
 
 @query(f"SELECT * FROM (SELECT 'L-' || CAST(a_vehid AS VARCHAR) AS licence1, 'L-' || CAST(b_vehid AS VARCHAR) AS licence2, a_mo_id, b_mo_id, {q('min(dist)', 'nad')} FROM ({_pairs(_TRUCKS, _TRUCKS, 'a.vehid <> b.vehid')}) GROUP BY ALL) WHERE nad BETWEEN 0.1 AND 10.1")
 def bench_06_close_trucks(w: World) -> DataFrame:
-    trucks = w.segments.join(F.broadcast(w.vehicles.where("type = 'truck'").select("vehid")), "vehid")
-    found = D.nearest_approach(trucks, trucks, "a.vehid <> b.vehid", ("a_vehid", "b_vehid", "a_mo_id", "b_mo_id"))
+    trucks = w.segments.join(w.vehicles.where("type = 'truck'").select("vehid"), "vehid")
+    found = D.nearest_approach(trucks, trucks, "a.vehid <> b.vehid", ("a_vehid", "b_vehid", "a_mo_id", "b_mo_id"), within=10.2)  # a little over the bound, as rounding comes last
     rows = found.selectExpr("concat('L-', CAST(a_vehid AS STRING)) AS licence1", "concat('L-', CAST(b_vehid AS STRING)) AS licence2", "a_mo_id", "b_mo_id", q("nad", "nad"))
     return rows.where("nad BETWEEN 0.1D AND 10.1D")
 
@@ -87,20 +89,24 @@ _CUT = ", ".join(f"{K.at(a, lam)} AS {a}{j}" for a in "xy" for j, lam in ((0, "l
 _PIECES = f"SELECT vehid, mo_id, periodid, t0, t1, lo <> 1 OR upper_inc OR t0 = t1 AS upper_inc, {_CUT} FROM (SELECT s.*, periodid, {_TLO} AS lo, {_THI} AS hi FROM segs s, periods WHERE t0 <= tmax AND t1 >= tmin) WHERE {K.kept('lo', 'hi')}"
 
 
-@query(f"SELECT regionid, periodid, string_agg(DISTINCT CAST(vehid AS VARCHAR), ',' ORDER BY CAST(vehid AS VARCHAR)) AS vehids FROM (SELECT p.vehid, periodid, regionid, {_XLO} AS lo, {_XHI} AS hi FROM ({_PIECES}) p, regions) WHERE lo <= hi AND lo < 1 GROUP BY regionid, periodid")
+_IN_BOX = "(SELECT p.*, regionid, xmin, xmax, ymin, ymax, {0} AS lo, {1} AS hi FROM ({2}) p, regions)".format(_XLO, _XHI, _PIECES)
+
+
+@query(f"SELECT regionid, periodid, string_agg(DISTINCT CAST(vehid AS VARCHAR), ',' ORDER BY CAST(vehid AS VARCHAR)) AS vehids FROM {_IN_BOX} WHERE lo < hi OR (lo = hi AND NOT (lo = 1 AND t0 < t1 AND NOT upper_inc)) GROUP BY regionid, periodid")
 def bench_13_in_region_during_period(w: World) -> DataFrame:
-    """Vehicles in a region for some time, or at its start, during a period."""
-    lo, hi = K.clip("xy")
+    """Vehicles in a region at some time of a period; included ends count, exclusive ones don't."""
     pieces = R.at_periods(w.segments, w.periods)
-    found = pieces.join(F.broadcast(w.regions), F.expr(f"({lo}) <= ({hi}) AND ({lo}) < 1"))
+    lo, hi = K.clip("xy")
+    found = meet(pieces, w.regions, {a: SEGMENT[a] for a in "xy"}).where(K.kept(lo, hi))
     return found.groupBy("regionid", "periodid").agg(F.array_join(F.array_sort(F.collect_set(F.col("vehid").cast("string"))), ",").alias("vehids"))
 
 
-@query("SELECT DISTINCT p.vehid FROM pts p JOIN qpts q ON p.x = q.x AND p.y = q.y JOIN periods d ON p.us BETWEEN d.tmin AND d.tmax JOIN segs s ON s.mo_id = p.mo_id AND s.t0 = p.us")
+@query(f"SELECT DISTINCT vehid FROM (SELECT vehid, x0 AS x, y0 AS y FROM ({_PIECES}) UNION ALL SELECT vehid, x1, y1 FROM ({_PIECES}) WHERE upper_inc) JOIN qpts USING (x, y)")
 def bench_15_passed_in_period(w: World) -> DataFrame:
-    """By recorded places within the period (a trip's exclusive end is not one)."""
-    starts = w.segments.select("vehid", F.col("t0").alias("us"), F.col("x0").alias("x"), F.col("y0").alias("y"))
-    return starts.join(F.broadcast(w.periods), F.expr("us BETWEEN tmin AND tmax")).join(w.query_points, ["x", "y"]).select("vehid").distinct()
+    """By the places where a trip's part within a period begins, turns or ends, recorded or not (an exclusive end is none)."""
+    pieces = R.at_periods(w.segments, w.periods)
+    places = pieces.select("vehid", F.col("x0").alias("x"), F.col("y0").alias("y")).union(pieces.where("upper_inc").select("vehid", "x1", "y1"))
+    return places.join(w.query_points, ["x", "y"]).select("vehid").distinct()
 
 
 @query(
@@ -108,18 +114,19 @@ def bench_15_passed_in_period(w: World) -> DataFrame:
     f"FROM ({_AT}) a JOIN ({_AT}) b ON a.instantid = b.instantid AND a.vehid <> b.vehid WHERE a.vehid IN (SELECT vehid FROM vehicles JOIN ql1 USING (licence)))) WHERE rank <= 10"
 )
 def bench_18_nearest_vehicles(w: World) -> DataFrame:
-    at = R.positions_at(w.segments, w.instants).select("vehid", "instantid", "x", "y")
+    at = materialize(R.positions_at(w.segments, w.instants).select("vehid", "instantid", "x", "y"), "positions")
     ids = w.vehicles.join(F.broadcast(w.licences1), "licence").select("vehid")
-    return D.knn_at_instants(at.join(F.broadcast(ids), "vehid"), at).selectExpr("v1", "instantid", "v2", q("nad", "nad"), "CAST(rank AS BIGINT) AS rank")
+    return D.knn_at_instants(at.join(hinted(ids), "vehid"), at).selectExpr("v1", "instantid", "v2", q("nad", "nad"), "CAST(rank AS BIGINT) AS rank")
 
 
 @query(
-    f"SELECT regionid, periodid, vehid, nad, rank FROM (SELECT *, rank() OVER (PARTITION BY regionid, periodid ORDER BY nad) AS rank FROM (SELECT regionid, periodid, vehid, {q('min(' + K.box_distance() + ')', 'nad')} FROM ({_PIECES}) p, regions GROUP BY regionid, periodid, vehid)) WHERE rank <= 10"
+    f"SELECT regionid, periodid, 'L-' || CAST(vehid AS VARCHAR) AS licence, {q('nad', 'nad')}, rank FROM (SELECT *, row_number() OVER (PARTITION BY regionid, periodid ORDER BY nad, vehid) AS rank FROM (SELECT regionid, periodid, vehid, min({K.box_distance()}) AS nad FROM ({_PIECES}) p, regions GROUP BY regionid, periodid, vehid)) WHERE rank <= 10"
 )
 def bench_20_nearest_to_region(w: World) -> DataFrame:
-    near = D.distance_to_boxes(R.at_periods(w.segments, w.periods), w.regions, ("regionid", "periodid", "vehid")).selectExpr("regionid", "periodid", "vehid", q("nad", "nad"))
-    rank = F.rank().over(Window.partitionBy("regionid", "periodid").orderBy("nad"))
-    return near.withColumn("rank", rank).where("rank <= 10").selectExpr("regionid", "periodid", "vehid", "nad", "CAST(rank AS BIGINT) AS rank")
+    """The ten nearest vehicles by exact distance, ties to the smaller number; rounded at the end."""
+    near = D.distance_to_boxes(R.at_periods(w.segments, w.periods), w.regions, ("regionid", "periodid", "vehid"))
+    best = D.nearest(near, ("regionid", "periodid"), ("nad", "vehid"), 10).join(w.vehicles.select("vehid", "licence"), "vehid")
+    return best.selectExpr("regionid", "periodid", "licence", q("nad", "nad"), "CAST(rank AS BIGINT) AS rank")
 
 
 @query(

@@ -177,34 +177,30 @@ def _pairs(left: str, right: str, pair: str) -> str:
     return _PAIRS.replace("{left}", left).replace("{right}", right).replace("{pair}", pair)
 
 
-_TRUCKS = "(SELECT s.*, licence FROM segs s JOIN vehicles USING (vehid) WHERE type = 'truck')"
+#: The stated query set: vehicles whose number is divisible by 100, against all.
+ASKED = "vehid % 100 = 0"
+_NEAR = _pairs(f"(SELECT * FROM segs WHERE {ASKED})", "segs", "a.vehid <> b.vehid")
 
 
-def _segments_of(w: World, condition: str) -> DataFrame:
-    return w.segments.join(F.broadcast(w.vehicles.where(condition).select("vehid")), "vehid")
-
-
-@query(f"SELECT a_mo_id, b_mo_id, {q('min(dist)', 'nad')} FROM ({_pairs(_TRUCKS, _TRUCKS, 'a.mo_id < b.mo_id')}) GROUP BY a_mo_id, b_mo_id")
+@query(f"SELECT a_mo_id, b_mo_id, {q('min(dist)', 'nad')} FROM ({_NEAR}) GROUP BY a_mo_id, b_mo_id")
 def nearest_approach_distance(w: World) -> DataFrame:
-    t = _segments_of(w, "type = 'truck'")
-    return D.nearest_approach(t, t).selectExpr("a_mo_id", "b_mo_id", q("nad", "nad"))
+    return D.nearest_approach(w.segments.where(ASKED), w.segments, "a.vehid <> b.vehid").selectExpr("a_mo_id", "b_mo_id", q("nad", "nad"))
 
 
 @query(
-    f"SELECT a_mo_id, b_mo_id, us FROM (SELECT *, row_number() OVER (PARTITION BY a_mo_id, b_mo_id ORDER BY dist, s + CAST(floor((e - s) * lam + 0.5) AS BIGINT)) AS rn, s + CAST(floor((e - s) * lam + 0.5) AS BIGINT) AS us FROM ({_pairs(_TRUCKS, _TRUCKS, 'a.mo_id < b.mo_id')})) WHERE rn = 1"
+    f"SELECT a_mo_id, b_mo_id, us FROM (SELECT *, row_number() OVER (PARTITION BY a_mo_id, b_mo_id ORDER BY dist, s + CAST(floor((e - s) * lam + 0.5) AS BIGINT)) AS rn, s + CAST(floor((e - s) * lam + 0.5) AS BIGINT) AS us FROM ({_NEAR})) WHERE rn = 1"
 )
 def nearest_approach_instant(w: World) -> DataFrame:
-    t = _segments_of(w, "type = 'truck'")
-    return D.nearest_approach(t, t).select("a_mo_id", "b_mo_id", "us")
+    return D.nearest_approach(w.segments.where(ASKED), w.segments, "a.vehid <> b.vehid").select("a_mo_id", "b_mo_id", "us")
 
 
-@query(f"SELECT a_mo_id, b_mo_id, count(*) AS parts, {q('min(dist)', 'least')}, {q('max(sqrt(ax * ax + ay * ay))', 'most_at_start')} FROM ({_pairs(_TRUCKS, _TRUCKS, 'a.mo_id < b.mo_id')}) GROUP BY a_mo_id, b_mo_id")
+@query(f"SELECT a_mo_id, b_mo_id, count(*) AS parts, {q('min(dist)', 'least')}, {q('max(sqrt(ax * ax + ay * ay))', 'most_at_start')} FROM ({_NEAR}) GROUP BY a_mo_id, b_mo_id")
 def temporal_distance(w: World) -> DataFrame:
-    t = _segments_of(w, "type = 'truck'")
-    return D.approaches(t, t, "a.mo_id < b.mo_id").groupBy("a_mo_id", "b_mo_id").agg(F.count("*").alias("parts"), F.expr(q("min(dist)", "least")), F.expr(q("max(sqrt(ax * ax + ay * ay))", "most_at_start")))
+    found = D.approaches(w.segments.where(ASKED), w.segments, "a.vehid <> b.vehid")
+    return found.groupBy("a_mo_id", "b_mo_id").agg(F.count("*").alias("parts"), F.expr(q("min(dist)", "least")), F.expr(q("max(sqrt(ax * ax + ay * ay))", "most_at_start")))
 
 
-# the same for all movers, whatever their type
+# the same for all pairs of movers
 
 _ALL = _pairs("segs", "segs", "a.mo_id < b.mo_id")
 
@@ -227,6 +223,20 @@ def temporal_distance_of_all(w: World) -> DataFrame:
     return found.groupBy("a_mo_id", "b_mo_id").agg(F.count("*").alias("parts"), F.expr(q("min(dist)", "least")), F.expr(q("max(sqrt(ax * ax + ay * ay))", "most_at_start")))
 
 
+def _sides(one: str, two: str) -> str:
+    a, b = (f"sign(({one}.x1 - {one}.x0) * ({two}.y{k} - {one}.y0) - ({one}.y1 - {one}.y0) * ({two}.x{k} - {one}.x0))" for k in (0, 1))
+    return f"{a} * {b} <= 0"
+
+
+@query(
+    f"SELECT DISTINCT a.mo_id AS a_mo_id, b.mo_id AS b_mo_id FROM (SELECT * FROM segs WHERE {ASKED}) a, segs b WHERE a.vehid <> b.vehid AND {_sides('a', 'b')} AND {_sides('b', 'a')} AND "
+    + " AND ".join(f"least(a.{c}0, a.{c}1) <= greatest(b.{c}0, b.{c}1) AND least(b.{c}0, b.{c}1) <= greatest(a.{c}0, a.{c}1)" for c in "xy")
+)
+def ever_intersects_mover(w: World) -> DataFrame:
+    """Trips of the stated query set and all trips of others whose traces cross."""
+    return R.ever_intersects_movers(w.segments.where(ASKED), w.segments, "a.vehid <> b.vehid")
+
+
 @query(f"SELECT vehid, pointid, {q('min(' + K.point_distance('px', 'py') + ')', 'dist')} FROM segs, places GROUP BY vehid, pointid")
 def min_distance_to_point(w: World) -> DataFrame:
     return D.distance_to_points(w.segments, w.places).selectExpr("vehid", "pointid", q("dist", "dist"))
