@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import hinted, materialize, shared_dir, table  # noqa: F401
+from ..shared import hinted, materialize, scratch, shared_dir, table  # noqa: F401
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 

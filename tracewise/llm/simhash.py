@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, fresh, hinted, map_rows, materialize, spaced_words, table, tidy
+from .common import as_bytes, fresh, hinted, map_rows, materialize, scratch, spaced_words, table, tidy
 from .components import components
 
 _CHUNK = 1 << 16
@@ -219,14 +219,17 @@ def near_duplicates(docs: DataFrame, k: int = 4, id_col: str = "doc_id", text_co
     null component_id). Other columns are ignored.
     """
     found = materialize(fingerprints(docs, k, (42,), id_col=id_col, text_col=text_col), "simhash")
-    labels = near_classes(found)
+    with scratch(docs.sparkSession) as keep:
+        labels = keep(materialize(near_classes(found), "classes"))
     return found.join(labels, "f0").select("doc_id", F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), "component_id")
 
 
 #: Prefix rows of an average bucket, links verified at a time, documents sampled for common shingles, most of these, and pairs looked at at once.
 LOAD, PART, SAMPLE, COMMON, PAIRS = 100_000, 200_000, 10_000, 200_000, 1 << 18
 #: Bits of the map that bounds how far two sets differ, and sets with one key that a task compares with each other or with as many more.
-MAP_BITS, SIDE = 512, 5_000
+MAP_BITS, SIDE = 2_048, 5_000
+#: Keys of eight bytes that a broadcast may send.
+BROADCAST_KEYS = 2_000_000
 
 
 def hashes(text: bytes | None, k: int) -> np.ndarray:
@@ -294,10 +297,11 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, k: int, id_col: str, text_col:
 
 
 def shared_keys(nodes: DataFrame) -> DataFrame:
-    """(key, node, size, c, n) of prefix keys that several nodes have; c is the smallest of these, with its size, n how many they are."""
+    """(key, node, size, n) of prefix keys that several nodes have; n is how many these are."""
     rows = nodes.select("node", "size", F.explode("keys").alias("key"))
-    repeated = materialize(rows.groupBy("key").agg(F.min(F.struct("node", "size")).alias("c"), F.count("*").alias("n")).where("n > 1"), "repeated")
-    return rows.join(hinted(repeated), "key")
+    repeated = materialize(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "repeated")
+    few = repeated.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    return rows.join(F.broadcast(repeated) if few else repeated, "key")
 
 
 def able(counted: DataFrame, similarity: float) -> DataFrame:
@@ -313,7 +317,8 @@ def able(counted: DataFrame, similarity: float) -> DataFrame:
 
 def first_links(shared: DataFrame, similarity: float) -> DataFrame:
     """Links (a, b) from the smallest node of each key to others that are likely to be similar to it."""
-    pairs = shared.where(f"c.node < node AND least(c.size, size) >= {similarity!r} * greatest(c.size, size) - 1e-9")
+    centre = materialize(shared.groupBy("key").agg(F.min(F.struct("node", "size")).alias("c")), "centres")
+    pairs = shared.join(hinted(centre), "key").where(f"c.node < node AND least(c.size, size) >= {similarity!r} * greatest(c.size, size) - 1e-9")
     return able(pairs.select(F.col("c.node").alias("a"), F.col("node").alias("b"), F.col("c.size").alias("sa"), F.col("size").alias("sb"), F.lit(1).alias("n")), similarity)
 
 
@@ -351,7 +356,7 @@ def open_pairs(key: np.ndarray, node: np.ndarray, size: np.ndarray, root: np.nda
     return names[a], names[b], size[at_first[a]], size[at_first[b]], counts
 
 
-def other_links(shared: DataFrame, roots: DataFrame, nodes: DataFrame, similarity: float, buckets: int, side: int = SIDE) -> DataFrame:
+def other_links(shared: DataFrame, roots: DataFrame, nodes: DataFrame, similarity: float, side: int = SIDE) -> DataFrame:
     """Links (a, b), a < b, of nodes that can be similar and that ``roots`` (node, root) doesn't connect.
 
     Keys whose nodes are all connected go first. Of a key with more than
@@ -361,7 +366,9 @@ def other_links(shared: DataFrame, roots: DataFrame, nodes: DataFrame, similarit
     rooted = shared.join(hinted(roots), "node", "left").select("key", "node", "size", "n", F.coalesce("root", "node").alias("root"))
     rooted = materialize(rooted, "rooted")
     apart = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    rows = rooted.join(hinted(materialize(apart, "apart")), "key", "left_semi").join(nodes.select("node", "map"), "node")
+    rows = materialize(rooted.join(hinted(materialize(apart, "apart")), "key", "left_semi"), "open")
+    buckets = max(8, rows.count() // LOAD)
+    rows = rows.join(nodes.select("node", "map"), "node")
     parts = F.ceil(F.col("n") / F.lit(side)).cast("long")
     own = F.when(parts > 1, F.pmod(F.xxhash64("node"), parts))
     rows = rows.withColumns({"_own": own, "_other": F.explode(F.when(parts > 1, F.sequence(F.lit(0).cast("long"), parts - 1)).otherwise(F.array(F.lit(None).cast("long"))))})
@@ -405,11 +412,10 @@ def similar_links(docs: DataFrame, found: DataFrame, k: int, similarity: float,
     """
     first = (F.first(c).alias(c) for c in ("size", "keys", "map"))  # of equal sets these are equal
     nodes = materialize(found.where("doc_id is not null").groupBy("f0", "f1").agg(F.min("doc_id").alias("node"), *first), "sets")
-    buckets = max(64, (nodes.agg(F.sum(F.size("keys"))).first()[0] or 0) // LOAD)
     shared = materialize(shared_keys(nodes), "shared")
     tried = materialize(first_links(shared, similarity), "candidates")
     links = verified(tried, docs, k, similarity, id_col, text_col)
-    others = materialize(other_links(shared, components(links), nodes, similarity, buckets).join(tried, ["a", "b"], "left_anti"), "candidates")
+    others = materialize(other_links(shared, components(links), nodes, similarity).join(tried, ["a", "b"], "left_anti"), "candidates")
     return nodes.select("f0", "f1", "node"), links.union(verified(others, docs, k, similarity, id_col, text_col))
 
 
@@ -421,15 +427,16 @@ def drop_near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, i
     without an id are kept and not compared; of rows that repeat an id and its
     text, one stays. Columns may have any names; an empty table stays empty.
     """
-    found = materialize(shingle_prefixes(docs, k, similarity, id_col, text_col), "prefixes")
-    nodes, links = similar_links(docs, found, k, similarity, id_col, text_col)
-    rooted = nodes.join(components(materialize(links, "links")), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    labelled = found.select("doc_id", "f0", "f1").join(rooted.select("f0", "f1", "root"), ["f0", "f1"])
     name = fresh("_node", docs.columns)
-    dropped = materialize(labelled.where("doc_id <> root").select(F.col("doc_id").alias(name)).distinct(), "dropped")
+    with scratch(docs.sparkSession) as keep:
+        found = materialize(shingle_prefixes(docs, k, similarity, id_col, text_col), "prefixes")
+        nodes, links = similar_links(docs, found, k, similarity, id_col, text_col)
+        rooted = nodes.join(components(materialize(links, "links")), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        labelled = found.select("doc_id", "f0", "f1").join(rooted.select("f0", "f1", "root"), ["f0", "f1"])
+        dropped = keep(materialize(labelled.where("doc_id <> root").select(F.col("doc_id").alias(name)).distinct(), "dropped"))
+        repeated = keep(materialize(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(name)), "repeated"))
     here = F.col(id_col).cast("long")
     kept = docs.join(hinted(dropped), here == F.col(name), "left_anti")
-    repeated = materialize(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(name)), "repeated")
     if repeated.isEmpty():
         return kept
     again = hinted(repeated)
