@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_module
+from tracewise.plans.world import TRIPS
 from tracewise.plans.queries import ORACLES, QUERIES
 
 from .conftest import SF
@@ -51,5 +52,5 @@ def test_entry_and_names(spark):
 def test_distances_of_all_have_pairs_of_every_two_types(spark, name):
     kind = {0: "truck", 1: "bus"}
     pairs = QUERIES[f"{name}_of_all"](spark, SF).select("a_mo_id", "b_mo_id").collect()
-    found = {frozenset(kind.get(m // 10 % 10, "passenger") for m in p) for p in pairs}
+    found = {frozenset(kind.get(m // TRIPS % 10, "passenger") for m in p) for p in pairs}
     assert found == {frozenset(x) for x in (["truck"], ["bus"], ["passenger"], ["truck", "bus"], ["truck", "passenger"], ["bus", "passenger"])}
