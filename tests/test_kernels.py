@@ -169,3 +169,33 @@ def test_empty_tables(spark):
     s = T.to_segments(none, 10)
     assert s.count() == 0 and KdTree(2).leaves(none).count() == 0
     assert D.nearest_approach(s, s).count() == 0
+
+
+def test_box_distance_and_touch_against_dense_sampling(spark):
+    """Independent of the kernels: many points along each segment, plain distance to the rectangle."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from tracewise.functions import kernels as K
+    from tracewise.operators import restrict as R
+
+    rng = np.random.default_rng(12)
+    ends, boxes = rng.uniform(-10, 10, (120, 4)), [(1, -3.0, 2.0, -1.0, 4.0), (2, 5.0, 6.0, 5.0, 6.0)]
+    segs = spark.createDataFrame([(i, i, 0, *map(float, e[:2]), 10, *map(float, e[2:]), True) for i, e in enumerate(ends)], "mo_id long, vehid long, t0 long, x0 double, y0 double, t1 long, x1 double, y1 double, upper_inc boolean")
+    rect = spark.createDataFrame(boxes, "regionid long, xmin double, xmax double, ymin double, ymax double")
+    got = {(r["mo_id"], r["regionid"]): r["d"] for r in segs.crossJoin(rect).select("mo_id", "regionid", F.expr(K.box_distance()).alias("d")).collect()}
+    lam = np.linspace(0, 1, 4001)[:, None]
+    meets, touches = set(), set()
+    for i, e in enumerate(ends):
+        p = e[:2] + (e[2:] - e[:2]) * lam
+        for b, x0, x1, y0, y1 in boxes:
+            gap = np.hypot(np.maximum(0, np.maximum(x0 - p[:, 0], p[:, 0] - x1)), np.maximum(0, np.maximum(y0 - p[:, 1], p[:, 1] - y1)))
+            assert abs(gap.min() - got[(i, b)]) < 0.02, (i, b)
+            inside = gap == 0
+            if inside.any():
+                meets.add((i, b))
+                if not inside.all():
+                    touches.add((i, b))
+    assert {(r["mo_id"], r["regionid"]) for r in R.ever_intersects_boxes(segs, rect, "regionid").collect()} >= meets
+    assert {(r["mo_id"], r["regionid"]) for r in R.ever_touches_boxes(segs, rect, "regionid").collect()} >= touches
+    assert all(got[k] == 0 for k in meets) and sum(v == 0 for v in got.values()) <= len(meets) + 3

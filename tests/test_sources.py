@@ -112,3 +112,39 @@ def test_streamed_sessions_equal_batch(spark, tmp_path):
 def test_windowed_counts(spark, n):
     df = spark.createDataFrame([(1, "2024-01-01 00:10:00"), (2, "2024-01-01 00:20:00"), (1, "2024-01-01 01:20:00")], "vehid long, t string").select("vehid", F.to_timestamp("t").alias("ts"))
     assert sorted(r["n"] for r in trips.windowed_counts(df).collect()) == [1, 2]
+
+
+def binary_trip(sequences, interp=3, srid=None, z=False, subtype=3):
+    """A trip in binary, written independently of the reader."""
+    flags = subtype | interp << 2 | (0x10 if z else 0) | (0x40 if srid is not None else 0)
+    out = struct.pack("<BHB", 1, 46, flags) + (struct.pack("<i", srid) if srid is not None else b"")
+    out += struct.pack("<I", len(sequences)) if subtype == 3 else b""
+    for inst, ends in sequences:
+        out += struct.pack("<IB", len(inst), ends)
+        for us, x, y in inst:
+            out += struct.pack("<2d", x, y) + (struct.pack("<d", 7.0) if z else b"") + struct.pack("<q", us - 946_684_800_000_000)
+    return out.hex().upper()
+
+
+def test_binary_trips():
+    one, two = [(1_700_000_000_000_000, 1.0, 2.0), (1_700_000_060_000_000, 3.0, 4.5)], [(1_700_000_900_000_000, 0.0, 0.0)]
+    want = [(one, True, False, "LINEAR"), (two, True, True, "LINEAR")]
+    for srid in (None, 3857):
+        for z in (False, True):
+            assert wkb.decode_trip(binary_trip([(one, 1), (two, 3)], srid=srid, z=z)) == want
+            assert wkb.decode_trip(binary_trip([(one, 1)], srid=srid, z=z, subtype=2)) == want[:1]
+    assert [wkb.decode_trip(x) for x in (None, "", "zz", "01", "012E000F02000000")] == [None] * 5
+
+
+def test_load_all_registers_views_and_tiles_trips(spark, tmp_path):
+    (tmp_path / "trips.csv").write_text("tripid,vehid,day,seqno,sourcenode,targetnode,trip,trajectory,licence\n" + f"1,5,2024-01-01,1,7,8,{binary_trip([([(0, 0.0, 0.0), (10, 10.0, 0.0)], 3)])},,L-5\n2,6,,,,,broken,,\n")
+    (tmp_path / "vehicles.csv").write_text("vehid,licence,type,model\n5,L-5,truck,M\n")
+    paths = {n: str(tmp_path / f"{n}.csv") for n in ("trips", "vehicles")}
+    whole = tables.load_all(spark, paths)
+    assert set(whole) == {"trips", "vehicles", "querylicences1", "querylicences2"}
+    assert [(r["movingobjectid"], r["tileid"], r["n"]) for r in spark.sql("SELECT movingobjectid, tileid, size(movingobject) n FROM trips ORDER BY 1").collect()] == [(1, -1, 1), (2, -1, None)]
+    grid = spark.createDataFrame([(0, 0.0, 4.0, -1.0, 1.0, 0, 10), (1, 4.0, 10.0, -1.0, 1.0, 0, 10)], "tileid long, xmin double, xmax double, ymin double, ymax double, tmin long, tmax long")
+    rows = tables.load_trips(spark, paths["trips"], grid).orderBy("tileid").collect()
+    assert [(r["tileid"], r["licence"], [(i["us"], i["x"]) for i in r["movingobject"][0]["inst"]]) for r in rows] == [(0, "L-5", [(0, 0.0), (4, 4.0)]), (1, "L-5", [(4, 4.0), (10, 10.0)])]
+    for df in whole.values():
+        df.unpersist()

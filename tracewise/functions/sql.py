@@ -56,7 +56,6 @@ def definitions() -> list[tuple[str, str, str, str]]:
     """(name, parameters, result, expression), in an order in which each uses only earlier ones."""
     point = "STRUCT<x: DOUBLE, y: DOUBLE>"
     one = lambda c: f"trip.inst[0].{c}"
-    dim = lambda f: ", ".join(f"'{c}{f}', array_{f}(trip.inst.{v})" for c, v in (("x", "x"), ("y", "y")))  # noqa: E731, F841
     xlo, xhi = K.clip("xy", "s.", "box.")
 
     def border(lam: str) -> str:
@@ -124,4 +123,4 @@ def register(spark: SparkSession) -> list[str]:
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({params}) RETURNS {result} RETURN {body}")
         names.append(name)
     wkb.register(spark)
-    return [*names, "geometry_from_hexwkb"]
+    return [*names, "geometry_from_hexwkb", "trip_from_hexwkb"]

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import tiling
+from ..operators import trajectory as T
 from . import text, wkb
 
 SCHEMAS = {
@@ -21,6 +22,7 @@ SCHEMAS = {
     "licences": "licenceid long, licence string, vehid long",
     "vehicles": "vehid long, licence string, type string, model string",
     "trips": "vehid long, tripid long, seqno long, point string, t string",
+    "binary_trips": "tripid long, vehid long, day string, seqno long, sourcenode long, targetnode long, trip string, trajectory string, licence string",
 }
 
 
@@ -74,6 +76,47 @@ def load_trip_points(spark: SparkSession, path: str) -> DataFrame:
     return df.select(F.concat_ws("-", "vehid", "tripid", "seqno").alias("mo_id"), "vehid", us.alias("us"), F.col("geom.x").alias("x"), F.col("geom.y").alias("y"), F.expr(text.micros("t")).alias("event_id"))
 
 
+def load_licences(spark: SparkSession, path: str, grid: DataFrame | None = None) -> DataFrame:
+    return read_csv(spark, path, "licences")
+
+
+def load_vehicles(spark: SparkSession, path: str, grid: DataFrame | None = None) -> DataFrame:
+    return read_csv(spark, path, "vehicles")
+
+
+_PIECE = "named_struct('inst', array(named_struct('us', s.t0, 'x', s.x0, 'y', s.y0), named_struct('us', s.t1, 'x', s.x1, 'y', s.y1)), 'lower_inc', true, 'upper_inc', s.upper_inc, 'interp', 'LINEAR')"
+
+
+def load_trips(spark: SparkSession, path: str, grid: DataFrame | None = None) -> DataFrame:
+    """Whole trips from binary; with a grid, a row for each tile that a trip meets, with its pieces there."""
+    df = read_csv(spark, path, "binary_trips").select(
+        F.col("tripid").alias("movingobjectid"), "vehid", "day", "seqno", "sourcenode", "targetnode", wkb.geometry_from_hexwkb("trajectory").alias("trajectory"), "licence", wkb.trip_from_hexwkb("trip").alias("movingobject")
+    )
+    if grid is None:
+        return df.withColumn("tileid", F.lit(-1).cast("long"))
+    segments = T.sequences_to_segments(df.select(F.col("movingobjectid").alias("mo_id"), "vehid", F.explode("movingobject").alias("trip")))
+    pieces = tiling.tile_segments(segments, grid).groupBy(F.col("mo_id").alias("movingobjectid"), "tileid").agg(F.array_sort(F.collect_list(F.struct("t0", "x0", "y0", "t1", "x1", "y1", "upper_inc"))).alias("_s"))
+    pieces = pieces.select("movingobjectid", "tileid", F.expr(f"transform(_s, s -> {_PIECE})").alias("movingobject"))
+    return df.drop("movingobject").join(pieces, "movingobjectid")
+
+
+LOADERS = {"trips": load_trips, "instants": load_instants, "periods": load_periods, "points": load_points, "regions": load_regions, "municipalities": load_municipalities, "licences": load_licences, "vehicles": load_vehicles}
+
+
+def load_all(spark: SparkSession, paths: dict[str, str], grid: DataFrame | None = None, sample: float = 0.01) -> dict[str, DataFrame]:
+    """The tables of ``paths`` (name to CSV), cached as needed and registered as views by their names.
+
+    If there are vehicles, two samples of them are registered as
+    ``querylicences1`` and ``querylicences2``.
+    """
+    out = {name: LOADERS[name](spark, path, grid) for name, path in paths.items()}
+    if "vehicles" in out:
+        out |= {f"querylicences{k}": out["vehicles"].sample(fraction=sample, seed=seed) for k, seed in ((1, 3), (2, 7))}
+    for name, df in out.items():
+        df.cache().createOrReplaceTempView(name)
+    return out
+
+
 def write_tiled(df: DataFrame, path: str, format: str = "parquet") -> None:
     """A folder for each tile; a filter on tileid then reads only its folders."""
     df.write.mode("overwrite").partitionBy("tileid").format(format).save(path)

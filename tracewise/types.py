@@ -1,8 +1,8 @@
 """Struct types of moving points, spans, boxes and geometries, as DDL text.
 
 Times are whole microseconds from an origin (``us``), so that interpolation is
-plain arithmetic in every engine; :func:`tracewise.functions.temporal.us_of`
-makes them from timestamps.
+plain arithmetic in every engine; the SQL function ``us_of`` makes them from
+timestamps.
 """
 
 INSTANT = "STRUCT<us: BIGINT, x: DOUBLE, y: DOUBLE>"
