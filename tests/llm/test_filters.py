@@ -81,7 +81,7 @@ def test_empty_benchmark_and_documents(spark):
 # --- urls --------------------------------------------------------------------------
 
 
-URLS = [None, "", "no scheme", "http://", "HTTP://A.NET/x", "http://net/", "http://x.net", "http://internet/", "https://www.Example.net/en/1?q#z", "http://example.net/enx/", "http://b.example.com/de/a", "http://org/fr/", "http://a.org/fr/://b", "http://spam-farm.example.org/en/1", "http://a.casino-win.com?x=://y", "ftp://pills.example.com#top", "http://adsl.example.com/", "http://ads-x.com/\nnext", "http://a/spam/"]
+URLS = [None, "", "no scheme", "http://", "HTTP://A.NET/x", "http://net/", "http://x.net", "http://internet/", "https://www.Example.net/en/1?q#z", "http://example.net/enx/", "http://b.example.com/de/a", "http://org/fr/", "http://a.org/fr/://b", "http://spam-farm.example.org/en/1", "http://a.casino-win.com?x=://y", "ftp://pills.example.com#top", "http://adsl.example.com/", "http://ads-x.com/\nnext", "http://a/spam/", "http://x.com/a/jsessionid=0123abcdef", "http://h.com/calendar/2024/1/02/x", "http://mytracker.example.com/pixel", "http://tracker.example.com/open?x", "http://h.com/download-me.exe", "http://secure-h.com/a/wp-login.php"]
 
 
 def brute_url(url):

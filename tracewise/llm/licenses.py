@@ -23,7 +23,7 @@ from .common import alnum_words, as_bytes, map_rows, table
 #: The base phrases and their labels.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
-#: Short passages of public licences: label, text, mandatory phrases.
+#: Passages of public licences (several of one licence may stand alone): label, text, mandatory phrases.
 TEMPLATES = (
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction", ("permission is hereby granted", "deal in the software without restriction")),
     ("apache", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied", ("as is basis", "without warranties or conditions of any kind")),
@@ -33,6 +33,17 @@ TEMPLATES = (
     ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", ("for any purpose with or without fee",)),
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License", ("mozilla public license",)),
     ("unlicense", "This is free and unencumbered software released into the public domain", ("unencumbered software", "public domain")),
+    ("mit", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software", ("this permission notice shall be included in all copies or substantial portions",)),
+    ("mit", "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT", ("without warranty of any kind", "merchantability fitness for a particular purpose and noninfringement")),
+    ("apache", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at", ("may not use this file except in compliance with the license",)),
+    ("gpl", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details", ("in the hope that it will be useful", "gnu general public license for more details")),
+    ("agpl", "it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version", ("gnu affero general public license",)),
+    ("bsd", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", ("may be used to endorse or promote products derived from this software",)),
+    ("epl", "This program and the accompanying materials are made available under the terms of the Eclipse Public License v2.0 which accompanies this distribution", ("eclipse public license",)),
+    ("zlib", "Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software", ("altered source versions must be plainly marked as such",)),
+    ("bsl", "Boost Software License - Version 1.0 - August 17th, 2003", ("boost software license version 1 0",)),
+    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License", ("creative commons attribution 4 0 international license",)),
+    ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", ("creative commons attribution sharealike 4 0 international license",)),
     ("cc-by", "Licensed under CC BY 4.0", ("cc by 4 0",)),
     ("cc-by-sa", "Licensed under CC BY-SA 4.0", ("cc by sa 4 0",)),
     ("cc-by-nc", "Licensed under CC BY-NC 4.0", ("cc by nc 4 0",)),

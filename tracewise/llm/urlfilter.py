@@ -48,16 +48,38 @@ BASE_RULES = (
     domain_rule("allow", "org", "/fr/"),
 )
 
-#: The operator's own rules, which speak where no base rule does.
-OWN_RULES = (
-    Rule("spam", "block", "(^|[.-])spam([.-])", ("spam",), 10, False),
-    Rule("casino", "block", "(^|[.-])casino([.-])", ("casino",), 10, False),
-    Rule("pills", "block", "(^|[.-])pills([.-])", ("pills",), 10, False),
-    Rule("bets", "block", "(^|[.-])bets([.-])", ("bets",), 10, False),
-    Rule("ads", "block", "^([^/]*[.])?ads[.-]", ("ads",), 10, False),
+#: Words of unwanted hosts and paths, by kind; a rule is made of each.
+WORDS = {
+    "gambling": "bets betting bingo blackjack casino jackpot lottery poker roulette slots sportsbook wager",
+    "pharmacy": "cialis pharmacy pills steroids tramadol viagra xanax",
+    "adult": "adult camgirls escort hentai nude porn sex xxx",
+    "piracy": "cracked keygen nulled pirate serialkey torrent warez",
+    "scam": "airdrop cryptodouble freegift getrich giveaway mlm payday phishing spam winner",
+}
+#: Rules on the shape of a url: name, pattern over host and path, tokens of every match.
+SHAPES = (
+    ("ads", "^([^/]*[.])?ads[.-]", ("ads",)),
+    ("adserver", "^([^/]*[.])?adserver[.-]", ("adserver",)),
+    ("tracker", "^([^/]*[.])?tracker[.-][^/]*/(pixel|open|click)", ("tracker",)),
+    ("login", "^[^/]*(secure|account|verify)[^/]*/([^/]*/)*wp-login[.]php", ("wp", "login", "php")),
+    ("install", "/wp-admin/install[.]php", ("wp", "admin", "install", "php")),
+    ("executable", "/(setup|download|update)[^/]*[.]exe$", ("exe",)),
+    ("calendar", "/calendar/[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}/", ("calendar",)),
+    ("jsessionid", "/jsessionid[=/][0-9a-f]{8}", ("jsessionid",)),
+    ("phpsessid", "/phpsessid[=/][0-9a-f]{8}", ("phpsessid",)),
 )
 
 
+def own_rules() -> tuple[Rule, ...]:
+    """The operator's own rules, which speak where no base rule does."""
+    words = sorted({w for x in WORDS.values() for w in x.split()})
+    named = [Rule(w, "block", f"(^|[.-]){w}([.-])", (w,), 10, False) for w in words]
+    return (*named, *(Rule(n, "block", p, t, 10, False) for n, p, t in SHAPES))
+
+
+OWN_RULES = own_rules()
+
+
 def parts(url):
     """(host, path) columns of a url column; both empty where it is null or has no ``://``."""
     rest = F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://(.*)$", 1)
@@ -111,14 +133,19 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sql_rules() -> str:
     quote = lambda s: "'" + s.replace("'", "''") + "'"
-    return ", ".join(f"({quote(r.name)}, {quote(r.verdict)}, {quote(r.pattern)}, {r.rank}, {str(r.base).lower()})" for r in BASE_RULES + OWN_RULES)
+    return ", ".join(f"({quote(r.pattern)})" for r in OWN_RULES)
 
 
+#: The four base rules are stated anew, longest first; own rules only block, so any that fits decides.
 OP9_SQL = f"""
-WITH r(name, act, pattern, rank, base) AS (VALUES {_sql_rules()}),
+WITH r(pattern) AS (VALUES {_sql_rules()}),
 u AS (SELECT page_id, regexp_extract(coalesce(url, ''), '^(?s:.*?)://((?s:.*))$', 1) AS rest FROM pages),
 p AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{_UPPER}', '{_LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
-m AS (SELECT page_id, max({{'rank': rank, 'name': name, 'act': act, 'base': base}}) AS best FROM p JOIN r ON regexp_matches(host || path, pattern) GROUP BY page_id)
-SELECT p.page_id, host, path, CASE WHEN best.base THEN best.name END AS rule, coalesce(best.act, 'allow') AS verdict
-FROM p LEFT JOIN m ON p.page_id = m.page_id
+b AS (SELECT *, CASE WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
+                     WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+                     WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
+                     WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule FROM p)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
+       WHEN EXISTS (SELECT 1 FROM r WHERE regexp_matches(host || path, pattern)) THEN 'block' ELSE 'allow' END AS verdict
+FROM b
 """
