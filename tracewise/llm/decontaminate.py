@@ -9,8 +9,9 @@ confirms an occurrence.
 
 The benchmark is read in blocks of bounded size. A block's tables go to the
 executors, every document passes it, what was found is written, and the tables
-are destroyed before the next block is built: driver and executors hold one
-block at a time, and no join between documents and windows is ever made.
+are destroyed before the next block's go out: an executor holds one block at a
+time, the driver the one to come, and no join between documents and windows is
+ever made.
 """
 
 from __future__ import annotations
@@ -131,27 +132,30 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_patt
     source = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("long"), F.col(item_text_col).cast("string").cast("binary"))
     rows = ((r[0], None if r[1] is None else bytes(r[1])) for r in source.toLocalIterator())
     state = as_bytes(docs, id_col, text_col).select("_id", "_text", *(F.lit(None).cast(t).alias(n) for n, t in (("n_words", "long"), ("ranges", "array<struct<start:int,end:int>>"), ("items", "array<long>"))))
-    schema = f"_id long, _text binary, {STATE}"
-    return in_turn(state, blocks(rows, window, block_patterns), lambda tables: lambda batch: scan(batch, tables.value), schema).select(F.col("_id").alias("doc_id"), "n_words", "ranges", "items")
+    between, at_last = f"_id long, _text binary, {STATE}", f"_id long, {STATE}"
+    found = in_turn(state, blocks(rows, window, block_patterns), lambda tables, last: lambda batch: scan(batch, tables.value, last), between, at_last)
+    return found.select(F.col("_id").alias("doc_id"), "n_words", "ranges", "items")
 
 
-def in_turn(df: DataFrame, some_blocks: Iterator[list[Matcher]], make, schema) -> DataFrame:
-    """``df`` after each block's function in turn; ``make`` gets a broadcast block.
+def in_turn(df: DataFrame, some_blocks: Iterator[list[Matcher]], make, schema, at_last) -> DataFrame:
+    """``df`` after each block's function in turn; ``make`` gets a broadcast block and whether it is the last.
 
-    The result of all but the last block is written before the next is built.
+    The result of all but the last block has ``schema`` and is written before
+    the next goes out; that of the last has ``at_last``.
     """
     sc, held = df.sparkSession.sparkContext, next(some_blocks, [])
     while True:
-        tables = sc.broadcast(held)
-        out = map_rows(df, lambda tables=tables: make(tables), schema)
-        held = next(some_blocks, None)
-        if held is None:
+        tables, held = sc.broadcast(held), next(some_blocks, None)
+        last = held is None
+        out = map_rows(df, lambda tables=tables, last=last: make(tables, last), at_last if last else schema)
+        if last:
             return out
         df = materialize(out, "searched")
         tables.destroy()
 
 
-def scan(batch: pa.RecordBatch, matchers: list[Matcher]) -> pa.RecordBatch:
+def scan(batch: pa.RecordBatch, matchers: list[Matcher], last: bool) -> pa.RecordBatch:
+    """Words, ranges and items of each text, added to those of earlier blocks; texts go on only to a next block."""
     old_ranges, old_items = batch.column(3).to_pylist(), batch.column(4).to_pylist()
     counts, ranges, items = [], [], []
     for text, was, had in zip(batch.column(1), old_ranges, old_items):
@@ -160,10 +164,10 @@ def scan(batch: pa.RecordBatch, matchers: list[Matcher]) -> pa.RecordBatch:
         counts.append(len(words))
         ranges.append([{"start": a, "end": b} for a, b in merge([*((x["start"], x["end"]) for x in was or ()), *found])])
         items.append(sorted(ids.union(had or ())))
-    return pa.RecordBatch.from_arrays(
-        [batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(ranges, pa.list_(RANGE)), pa.array(items, pa.list_(pa.int64()))],
-        names=["_id", "_text", "n_words", "ranges", "items"],
-    )
+    columns = {"_id": batch.column(0), "_text": batch.column(1), "n_words": pa.array(counts, pa.int64()), "ranges": pa.array(ranges, pa.list_(RANGE)), "items": pa.array(items, pa.list_(pa.int64()))}
+    if last:
+        del columns["_text"]
+    return pa.RecordBatch.from_pydict(columns)
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_patterns: int = BLOCK_PATTERNS, text_col: str = "text") -> DataFrame:
@@ -181,7 +185,7 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WIN
         texts = (t.as_py() for t in batch.column(at).cast(pa.binary()))
         return batch.filter(pa.array([next((False for m in tables.value for _ in m.search(w)), True) for w in map(alnum_words, texts)], pa.bool_()))
 
-    return in_turn(docs, blocks(rows, window, block_patterns), lambda tables: lambda batch: keep(batch, tables), docs.schema)
+    return in_turn(docs, blocks(rows, window, block_patterns), lambda tables, last: lambda batch: keep(batch, tables), docs.schema, docs.schema)
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
