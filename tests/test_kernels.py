@@ -199,3 +199,23 @@ def test_box_distance_and_touch_against_dense_sampling(spark):
     assert {(r["mo_id"], r["regionid"]) for r in R.ever_intersects_boxes(segs, rect, "regionid").collect()} >= meets
     assert {(r["mo_id"], r["regionid"]) for r in R.ever_touches_boxes(segs, rect, "regionid").collect()} >= touches
     assert all(got[k] == 0 for k in meets) and sum(v == 0 for v in got.values()) <= len(meets) + 3
+
+
+def test_piece_of_a_period_keeps_the_end_of_its_sequence(spark):
+    """An end within the segment is in; the segment's own end is in only if the sequence's is (SQL and operator alike)."""
+    from tracewise.plans.benchmark import _PIECES
+
+    rows = [seg(0, 0, 0, 10 * S, 10, 0, mo=1), seg(0, 0, 0, 10 * S, 10, 0, True, mo=2)]
+    periods = [(0, 0, 20 * S), (1, 2 * S, 10 * S), (2, 2 * S, 5 * S), (3, 10 * S, 20 * S)]
+    found = R.at_periods(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(periods, "periodid long, tmin long, tmax long"))
+    got = {(r.mo_id, r.periodid): (r.t0 // S, r.t1 // S, r.x1, r.upper_inc) for r in found.collect()}
+    assert got == {
+        (1, 0): (0, 10, 10.0, False), (1, 1): (2, 10, 10.0, False), (1, 2): (2, 5, 5.0, True),
+        (2, 0): (0, 10, 10.0, True), (2, 1): (2, 10, 10.0, True), (2, 2): (2, 5, 5.0, True), (2, 3): (10, 10, 10.0, True),
+    }
+    con = duckdb.connect()
+    con.execute("CREATE TABLE segs (mo_id BIGINT, vehid BIGINT, t0 BIGINT, x0 DOUBLE, y0 DOUBLE, t1 BIGINT, x1 DOUBLE, y1 DOUBLE, upper_inc BOOLEAN)")
+    con.executemany("INSERT INTO segs VALUES (?, ?, ?, ?, ?, ?, ?, ?, ?)", rows)
+    con.execute("CREATE TABLE periods (periodid BIGINT, tmin BIGINT, tmax BIGINT)")
+    con.executemany("INSERT INTO periods VALUES (?, ?, ?)", periods)
+    assert {(m, p): (x, inc) for m, p, x, inc in con.execute(f"SELECT mo_id, periodid, x1, upper_inc FROM ({_PIECES})").fetchall()} == {k: v[2:] for k, v in got.items()}

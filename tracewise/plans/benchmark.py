@@ -86,7 +86,7 @@ def bench_12_met_at_point(w: World) -> DataFrame:
 _TLO, _THI = K.clip("t")
 _XLO, _XHI = K.clip("xy")
 _CUT = ", ".join(f"{K.at(a, lam)} AS {a}{j}" for a in "xy" for j, lam in ((0, "lo"), (1, "hi")))
-_PIECES = f"SELECT vehid, mo_id, periodid, t0, t1, lo <> 1 OR upper_inc OR t0 = t1 AS upper_inc, {_CUT} FROM (SELECT s.*, periodid, {_TLO} AS lo, {_THI} AS hi FROM segs s, periods WHERE t0 <= tmax AND t1 >= tmin) WHERE {K.kept('lo', 'hi')}"
+_PIECES = f"SELECT vehid, mo_id, periodid, t0, t1, hi < 1 OR lo = hi OR upper_inc AS upper_inc, {_CUT} FROM (SELECT s.*, periodid, {_TLO} AS lo, {_THI} AS hi FROM segs s, periods WHERE t0 <= tmax AND t1 >= tmin) WHERE {K.kept('lo', 'hi')}"
 
 
 _IN_BOX = "(SELECT p.*, regionid, xmin, xmax, ymin, ymax, {0} AS lo, {1} AS hi FROM ({2}) p, regions)".format(_XLO, _XHI, _PIECES)
