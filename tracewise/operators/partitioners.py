@@ -95,15 +95,14 @@ class KdTree:
         """
         least = [F.min(source(a)).cast("double").alias(f"_{a}") for a in AXES]
         rows = materialize(self.leaves(points.select("event_id", *map(source, AXES))).groupBy("node").agg(*least), "leaves")  # a row for each leaf, all that planes need
-        box = extent(points).select(F.lit(0).cast("long").alias("node"), *(F.col(c).cast("double").alias(c) for c in BOX))
+        out = rows.join(F.broadcast(extent(points).select(*(F.col(c).cast("double").alias(c) for c in BOX))))
         for level in range(self.depth):
             axis, shift = self.axes[level % len(self.axes)], self.depth - level - 1
-            plane = rows.where(F.expr(f"shiftright(node, {shift}) % 2 = 1")).groupBy(F.expr(f"shiftright(node, {shift + 1}) AS node")).agg(F.min(f"_{axis}").alias("_plane"))
-            lower = [F.col("_plane").alias(c) if c == f"{axis}max" else F.col(c) for c in BOX]
-            upper = [F.col("_plane").alias(c) if c == f"{axis}min" else F.col(c) for c in BOX]
-            split = box.join(plane, "node", "left")
-            box = split.where("_plane IS NOT NULL").select(F.expr("node * 2 AS node"), *lower).union(split.select(F.expr("node * 2 + 1 AS node"), *[F.coalesce(c, F.col(n)).alias(n) for c, n in zip(upper, BOX)]))
-        return box.join(rows.select("node"), "node").select(F.col("node").alias("tileid"), *BOX)
+            upper = F.expr(f"shiftright(node, {shift}) % 2 = 1")
+            plane = F.min(F.when(upper, F.col(f"_{axis}"))).over(Window.partitionBy(F.shiftright("node", shift + 1)))
+            side = F.when(upper, F.col("_plane"))
+            out = out.withColumn("_plane", plane).withColumns({f"{axis}min": F.coalesce(side, f"{axis}min"), f"{axis}max": F.when(upper, F.col(f"{axis}max")).otherwise(F.col("_plane"))})
+        return out.select(F.col("node").alias("tileid"), *BOX)
 
 
 @dataclass(frozen=True)

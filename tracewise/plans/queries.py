@@ -327,7 +327,20 @@ def kdtree_leaves(w: World) -> DataFrame:
     return P.KdTree(DEPTH).leaves(w.points).groupBy(F.col("node").alias("tileid")).agg(F.count("*").alias("n"), F.min("x").alias("xlo"), F.max("x").alias("xhi"), F.min("us").alias("tlo"), F.max("us").alias("thi"))
 
 
-@query()
+def _kd_boxes(depth: int) -> str:
+    """Boxes from the points, split from the outer one inwards along with them."""
+    box = [f"{a}{e}" for a in "xyt" for e in ("min", "max")]
+    rows = f"SELECT event_id, x, y, us, CAST(0 AS BIGINT) AS node, {', '.join(f'CAST(ext.{c} AS DOUBLE) AS {c}' for c in box)} FROM pts, ext"
+    for level in range(depth):
+        axis, a = (("x", "x"), ("y", "y"), ("us", "t"))[level % 3]
+        rows = f"SELECT *, row_number() OVER (PARTITION BY node ORDER BY {axis}, event_id) > count(*) OVER (PARTITION BY node) // 2 AS up FROM ({rows})"
+        rows = f"SELECT *, min(CAST({axis} AS DOUBLE)) FILTER (WHERE up) OVER (PARTITION BY node) AS plane FROM ({rows})"
+        cut = f"if(up, plane, {a}min) AS {a}min, if(up, {a}max, plane) AS {a}max"
+        rows = f"SELECT event_id, x, y, us, node * 2 + if(up, 1, 0) AS node, {', '.join(c for c in box if c[0] != a)}, {cut} FROM ({rows})"
+    return f"SELECT DISTINCT CAST(node AS BIGINT) AS tileid, {', '.join(box)} FROM ({rows})"
+
+
+@query(_kd_boxes(DEPTH))
 def kdtree_tiles(w: World) -> DataFrame:
     return P.KdTree(DEPTH).grid(w.points)
 
