@@ -30,7 +30,7 @@ def traces(n: int, seed: int):
     return rows
 
 
-@pytest.mark.parametrize("name", ["nearest_approach_distance", "nearest_approach_instant", "temporal_distance", "nearest_approach_distance_of_all", "nearest_approach_instant_of_all", "temporal_distance_of_all"])
+@pytest.mark.parametrize("name", ["nearest_approach_distance", "nearest_approach_instant", "temporal_distance", "nearest_approach_distance_of_all", "nearest_approach_instant_of_all", "temporal_distance_of_all", "bench_06_close_trucks"])
 def test_pairs_are_not_shuffled(spark, name):
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
     assert [line for line in plan.splitlines() if "Exchange" in line and ("a_mo_id" in line or "b_mo_id" in line)] == []

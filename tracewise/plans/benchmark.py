@@ -64,7 +64,7 @@ def bench_05_min_distance(w: World) -> DataFrame:
 @query(f"SELECT * FROM (SELECT 'L-' || CAST(a_vehid AS VARCHAR) AS licence1, 'L-' || CAST(b_vehid AS VARCHAR) AS licence2, a_mo_id, b_mo_id, {q('min(dist)', 'nad')} FROM ({_pairs(_TRUCKS, _TRUCKS, 'a.vehid <> b.vehid')}) GROUP BY ALL) WHERE nad BETWEEN 0.1 AND 10.1")
 def bench_06_close_trucks(w: World) -> DataFrame:
     trucks = w.segments.join(w.vehicles.where("type = 'truck'").select("vehid"), "vehid")
-    found = D.nearest_approach(trucks, trucks, "a.vehid <> b.vehid", ("a_vehid", "b_vehid", "a_mo_id", "b_mo_id"), within=10.2)  # a little over the bound, as rounding comes last
+    found = D.nearest_distance(trucks, trucks, "a.vehid <> b.vehid", ("a_vehid", "b_vehid", "a_mo_id", "b_mo_id"), within=10.2)  # a little over the bound, as rounding comes last
     rows = found.selectExpr("concat('L-', CAST(a_vehid AS STRING)) AS licence1", "concat('L-', CAST(b_vehid AS STRING)) AS licence2", "a_mo_id", "b_mo_id", q("nad", "nad"))
     return rows.where("nad BETWEEN 0.1D AND 10.1D")
 
