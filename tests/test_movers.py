@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from tracewise.operators import distance as D
 from tracewise.operators import movers
+from tracewise.operators import restrict as R
 from tracewise.plans import benchmark as _benchmark  # noqa: F401  registers its queries
 from tracewise.plans.queries import QUERIES
 
 from .conftest import SF
 
 SCHEMA = "mo_id long, vehid long, t0 long, x0 double, y0 double, t1 long, x1 double, y1 double, upper_inc boolean"
+NAMES = ["nearest_approach_distance", "nearest_approach_instant", "temporal_distance"]
 
 
 def traces(n: int, seed: int):
@@ -30,7 +32,7 @@ def traces(n: int, seed: int):
     return rows
 
 
-@pytest.mark.parametrize("name", ["nearest_approach_distance", "nearest_approach_instant", "temporal_distance", "nearest_approach_distance_of_all", "nearest_approach_instant_of_all", "temporal_distance_of_all", "bench_06_close_trucks"])
+@pytest.mark.parametrize("name", ["bench_06_close_trucks", "ever_intersects_mover", *NAMES, *(f"{n}_of_all" for n in NAMES)])
 def test_pairs_are_not_shuffled(spark, name):
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
     assert [line for line in plan.splitlines() if "Exchange" in line and ("a_mo_id" in line or "b_mo_id" in line)] == []
@@ -59,6 +61,24 @@ def test_distances_do_not_depend_on_tiles_and_blocks(spark, monkeypatch, width,
     assert {(r[0], r[1]): r[2] for r in whole} == want
 
 
+@pytest.mark.parametrize("cell, side", [(1.0, 3), (6.0, 5), (64.0, 2)])
+def test_crossings_against_brute_force(spark, monkeypatch, cell, side):
+    left, right = traces(25, 1), traces(30, 2)
+
+    def turn(s, px, py):
+        v = (s[6] - s[3]) * (py - s[4]) - (s[7] - s[4]) * (px - s[3])
+        return (v > 0) - (v < 0)
+
+    def cross(a, b):
+        boxes = all(min(a[i], a[i + 3]) <= max(b[i], b[i + 3]) and min(b[i], b[i + 3]) <= max(a[i], a[i + 3]) for i in (3, 4))
+        return boxes and turn(a, b[3], b[4]) * turn(a, b[6], b[7]) <= 0 and turn(b, a[3], a[4]) * turn(b, a[6], a[7]) <= 0
+
+    want = sorted({(a[0], b[0]) for a in left for b in right if a[1] != b[1] and cross(a, b)})
+    monkeypatch.setattr(movers, "SIDE", side)
+    got = R.ever_intersects_movers(*(spark.createDataFrame(x, SCHEMA) for x in (left, right)), "a.vehid <> b.vehid", cell)
+    assert sorted(map(tuple, got.collect())) == want and want
+
+
 def test_no_movers(spark):
     none = spark.createDataFrame([], SCHEMA)
-    assert D.nearest_distance(none, none).count() == 0
+    assert D.nearest_distance(none, none).count() == 0 and R.ever_intersects_movers(none, none).count() == 0
