@@ -252,3 +252,24 @@ def test_near_duplicates_of_real_texts_equal_brute_force(spark):
 def test_prefixes_grow_with_the_fingerprints():
     assert [H.prefix_for(n) for n in (0, 1000, 10**6, 10**9)] == sorted(H.prefix_for(n) for n in (0, 1000, 10**6, 10**9))
     assert H.prefix_for(10**9) >= 20
+
+
+def test_the_near_duplicate_stage_goes_through_ball_hashing(spark, monkeypatch):
+    """Copies with one changed word among 4,000: without the join on prefixes, ball hashing alone links them, and keeps others apart."""
+    rng, rows = random.Random(41), []
+    for g in range(40):
+        a = [f"g{g}w{n}" for n in range(4000)]
+        b = list(a)
+        b[rng.randrange(4000)] = "new"
+        rows += [(g * 10, " ".join(a)), (g * 10 + 1, " ".join(b))]
+    none = lambda *_: spark.createDataFrame([], "a long, b long")
+    monkeypatch.setattr(H, "first_links", none)
+    monkeypatch.setattr(H, "other_links", none)
+    want, _ = kept_by_brute_force(rows)
+    assert {r["doc_id"] for r in H.drop_near_duplicates(documents(spark, rows)).collect()} == want == {g * 10 for g in range(40)}
+
+
+def test_fingerprint_of_hashes_is_that_of_the_shingles():
+    for text in (b"", b"one", b"a b c d e f g", b" ".join(b"w%d" % (i % 700) for i in range(2000))):
+        parts = sorted(set(H.shingles(text, 5)))
+        assert H.of_hashes(H.hashes(text, 5)) == int.from_bytes(H.fingerprint(parts, (0,))[0], "big", signed=True)

@@ -271,18 +271,26 @@ def parity_map(found: np.ndarray) -> bytes:
     return np.packbits(np.bincount(found & (MAP_BITS - 1), minlength=MAP_BITS).astype(np.uint8) & 1).tobytes()
 
 
+def of_hashes(found: np.ndarray) -> int:
+    """The fingerprint of a set of shingles from its hashes, as a signed long; zero if there are none."""
+    bits = np.zeros(64, dtype=np.int64)
+    for i in range(0, len(found), _CHUNK):
+        bits += np.unpackbits(found[i : i + _CHUNK].astype(">i8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * bits > len(found)).tobytes(), "big", signed=True)
+
+
 def shingle_prefixes(docs: DataFrame, k: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, f0, f1, size, keys, map): digest and size of the shingle set, its prefix, its parity map."""
+    """(doc_id, f0, f1, size, keys, map, simhash): digest and size of the shingle set, its prefix, its parity map, its fingerprint."""
     common, counts = common_shingles(docs, k, id_col, text_col)
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [hashes(t.as_py(), k) for t in batch.column(1)]
         digests = np.frombuffer(b"".join([xxhash.xxh3_128_digest(x.tobytes()) for x in sets]), dtype=">i8").astype(np.int64).reshape(-1, 2)
         keys = pa.array([prefix(x, similarity, common, counts) for x in sets], pa.list_(pa.int64()))
-        columns = [batch.column(0), pa.array(digests[:, 0].copy()), pa.array(digests[:, 1].copy()), pa.array([len(x) for x in sets], pa.int32()), keys, pa.array([parity_map(x) for x in sets], pa.binary())]
-        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "f0", "f1", "size", "keys", "map"])
+        columns = [batch.column(0), pa.array(digests[:, 0].copy()), pa.array(digests[:, 1].copy()), pa.array([len(x) for x in sets], pa.int32()), keys, pa.array([parity_map(x) for x in sets], pa.binary()), pa.array([of_hashes(x) for x in sets], pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "f0", "f1", "size", "keys", "map", "simhash"])
 
-    return map_rows(as_bytes(docs, id_col, text_col), lambda: step, "doc_id long, f0 long, f1 long, size int, keys array<long>, map binary")
+    return map_rows(as_bytes(docs, id_col, text_col), lambda: step, "doc_id long, f0 long, f1 long, size int, keys array<long>, map binary, simhash long")
 
 
 def shingle_sets(docs: DataFrame, ids: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
@@ -315,6 +323,17 @@ def able(counted: DataFrame, similarity: float) -> DataFrame:
     return links.where(f"n + {rest} >= {similarity / (1 + similarity)!r} * (sa + sb) - 1e-9").select("a", "b")
 
 
+def simhash_links(nodes: DataFrame) -> DataFrame:
+    """Links (a, b), a < b, that ball hashing finds: within 4 bits, of distinct fingerprints by the smallest node of each.
+
+    Nodes with one fingerprint are linked to that node.
+    """
+    first = materialize(nodes.groupBy(F.col("simhash").alias("f0")).agg(F.min("node").alias("node")), "fingerprints")
+    near = ball_links(first, [Block(0, 0, 64)], 4, 1, 4, prefix_for(first.count(), load=LOAD)).distinct()
+    same = nodes.join(first.select(F.col("f0").alias("simhash"), F.col("node").alias("a")), "simhash").where("a < node").select("a", F.col("node").alias("b"))
+    return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(same)
+
+
 def first_links(shared: DataFrame, similarity: float) -> DataFrame:
     """Links (a, b) from the smallest node of each key to others that are likely to be similar to it."""
     centre = materialize(shared.groupBy("key").agg(F.min(F.struct("node", "size")).alias("c")), "centres")
@@ -405,15 +424,17 @@ def verified(links: DataFrame, docs: DataFrame, k: int, similarity: float, id_co
 def similar_links(docs: DataFrame, found: DataFrame, k: int, similarity: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """Distinct shingle sets (f0, f1, node; node the smallest id) and links of at least ``similarity`` that connect all that are similar.
 
-    Similar sets have a key of their prefixes in common. The smallest node of
-    each key is compared with the others first; then all pairs with a key in
+    Ball hashing of fingerprints gives the first candidates; each is compared
+    exactly. Fingerprints tell by chance only how similar sets are, so for the
+    rest, similar sets have a key of their prefixes in common: the smallest node
+    of each key is compared with the others, and then all pairs with a key in
     common that the similar ones among those links leave apart and that sizes,
     parity maps and counts of common keys allow.
     """
-    first = (F.first(c).alias(c) for c in ("size", "keys", "map"))  # of equal sets these are equal
+    first = (F.first(c).alias(c) for c in ("size", "keys", "map", "simhash"))  # of equal sets these are equal
     nodes = materialize(found.where("doc_id is not null").groupBy("f0", "f1").agg(F.min("doc_id").alias("node"), *first), "sets")
     shared = materialize(shared_keys(nodes), "shared")
-    tried = materialize(first_links(shared, similarity), "candidates")
+    tried = materialize(simhash_links(nodes).union(first_links(shared, similarity)).distinct(), "candidates")
     links = verified(tried, docs, k, similarity, id_col, text_col)
     others = materialize(other_links(shared, components(links), nodes, similarity).join(tried, ["a", "b"], "left_anti"), "candidates")
     return nodes.select("f0", "f1", "node"), links.union(verified(others, docs, k, similarity, id_col, text_col))
