@@ -41,7 +41,7 @@ def odd_events(folder):
     return str(folder)
 
 
-BLOCKS = ["nearest_approach_instant_of_all", "nearest_approach_distance_of_all"]
+BLOCKS = ["nearest_approach_instant_of_all", "nearest_approach_distance_of_all", "temporal_distance_of_all"]
 
 
 @pytest.mark.parametrize("name", [n for n in BLOCKS if "instant" in n])
