@@ -1,11 +1,14 @@
 """Pairs of movers in packed blocks: as the row by row joins, as the SQL on odd values, and no work by rows or pairs in Spark."""
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tracewise.operators import distance as D
 from tracewise.operators import movers
+from tracewise.operators import restrict as R
+from tracewise.operators import traces as arrays
 from tracewise.plans.queries import ORACLES, QUERIES
 
 from .conftest import SF
@@ -29,6 +32,26 @@ def test_distances_of_blocks(spark, monkeypatch, width, side, both):
     assert rounded(got.collect()) == rounded(want.collect()) != []
 
 
+@pytest.mark.parametrize("cell, side", [(6.0, 50), (64.0, 20), (1000.0, 65_536)])
+def test_crossings_of_blocks(spark, monkeypatch, cell, side):
+    left, right = (spark.createDataFrame(traces(n, n), SCHEMA) for n in (25, 30))
+    want = R.ever_intersects_movers(left, right, "a.vehid <> b.vehid")
+    monkeypatch.setattr(movers, "MOST", side)
+    got = R.ever_intersects_vehicles(left, right, cell)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) != []
+
+
+def test_crossings_do_not_depend_on_the_order_of_tests(monkeypatch):
+    names = SCHEMA.replace(" long", "").replace(" double", "").replace(" boolean", "").split(", ")
+    a, b = (arrays.Block({c: np.array(v) for c, v in zip([*names, "at"], zip(*((*r, 1) for r in sorted(traces(n, n)))))}) for n in (25, 60))
+    keep = np.arange(60) % 7 > 0
+    found = []
+    for rest in (0, 30, 300, 10**6):
+        monkeypatch.setattr(arrays, "REST", rest)
+        found.append([sorted(arrays.crossing(a, m, b, keep)) for m in range(25)])
+    assert found[0] == found[1] == found[2] == found[3] and any(found[0])
+
+
 def odd_events(folder):
     """Vehicles with few and many points, two without a place at first, one with infinite and undefined places, standing ones."""
     rows = []
@@ -41,7 +64,7 @@ def odd_events(folder):
     return str(folder)
 
 
-BLOCKS = ["nearest_approach_instant_of_all", "nearest_approach_distance_of_all", "temporal_distance_of_all"]
+BLOCKS = ["nearest_approach_instant_of_all", "nearest_approach_distance_of_all", "temporal_distance_of_all", "ever_intersects_mover"]
 
 
 @pytest.mark.parametrize("name", [n for n in BLOCKS if "instant" in n])
