@@ -10,6 +10,7 @@ from tracewise.operators import movers
 from tracewise.operators import restrict as R
 from tracewise.operators import traces as arrays
 from tracewise.plans.queries import ORACLES, QUERIES
+from tracewise.plans.world import TRIPS
 
 from .conftest import SF
 from .test_movers import SCHEMA, traces
@@ -64,7 +65,7 @@ def odd_events(folder):
     return str(folder)
 
 
-BLOCKS = ["nearest_approach_instant_of_all", "nearest_approach_distance_of_all", "temporal_distance_of_all", "ever_intersects_mover"]
+BLOCKS = ["nearest_approach_instant_of_all", "nearest_approach_distance_of_all", "temporal_distance_of_all", "ever_intersects_mover", "nearest_approach_instant"]
 
 
 @pytest.mark.parametrize("name", [n for n in BLOCKS if "instant" in n])
@@ -93,3 +94,12 @@ def test_two_blocks_meet_once(spark, monkeypatch):
     blocks = {frozenset(s.mo_id for s in r.a) for r in met} | {frozenset(s.mo_id for s in r.b) for r in met}
     assert len(blocks) > 3 and len(met) == len(blocks) * (len(blocks) + 1) // 2
     assert sum(r.same for r in met) == len(blocks) and sum(map(len, blocks)) == 40
+
+
+@pytest.mark.parametrize("name", ["nearest_approach_instant"])
+def test_all_vehicles_are_asked(spark, name):
+    """Both ways, and as often as pairs of movers of different vehicles meet."""
+    pairs = {tuple(r) for r in QUERIES[name](spark, SF).select("a_mo_id", "b_mo_id").collect()}
+    met = {tuple(r) for r in QUERIES[f"{name}_of_all"](spark, SF).select("a_mo_id", "b_mo_id").collect()}
+    assert pairs == {p for a, b in met if a // TRIPS != b // TRIPS for p in ((a, b), (b, a))}
+    assert len({a // TRIPS for a, _ in pairs}) == 15
