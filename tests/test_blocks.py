@@ -65,7 +65,7 @@ def odd_events(folder):
     return str(folder)
 
 
-BLOCKS = ["nearest_approach_instant_of_all", "nearest_approach_distance_of_all", "temporal_distance_of_all", "ever_intersects_mover", "nearest_approach_instant"]
+BLOCKS = ["nearest_approach_instant_of_all", "nearest_approach_distance_of_all", "temporal_distance_of_all", "ever_intersects_mover", "nearest_approach_instant", "temporal_distance"]
 
 
 @pytest.mark.parametrize("name", [n for n in BLOCKS if "instant" in n])
@@ -96,7 +96,7 @@ def test_two_blocks_meet_once(spark, monkeypatch):
     assert sum(r.same for r in met) == len(blocks) and sum(map(len, blocks)) == 40
 
 
-@pytest.mark.parametrize("name", ["nearest_approach_instant"])
+@pytest.mark.parametrize("name", ["nearest_approach_instant", "temporal_distance"])
 def test_all_vehicles_are_asked(spark, name):
     """Both ways, and as often as pairs of movers of different vehicles meet."""
     pairs = {tuple(r) for r in QUERIES[name](spark, SF).select("a_mo_id", "b_mo_id").collect()}
